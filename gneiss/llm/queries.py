@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.llm.chat import chat_windows, read_back
+from gneiss.llm.embeddings import embedding_groups
 from gneiss.llm.exact_dedup import exact_dedup
 from gneiss.llm.mixing import mix
 from gneiss.llm.simhash import simhash_groups
@@ -17,16 +19,30 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold a chat template's own marks.
+TRAP = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame(TRAP, "conv_id long, turn long, role string, text string")
+    return read_back(chat_windows(turns.unionByName(trap)))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_groups, op4_source_mix, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash_groups, op3_embedding_groups, op4_source_mix, op6_chat_windows, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -34,6 +50,27 @@ def oracle_sql() -> dict[str, str]:
 
 
 ORACLES = {
+    "op6_chat_windows": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, replace(replace(replace(replace(text, '\', '\s'), '#', '\h'), '<', '\l'), ':', '\c') AS x,
+              length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 AS size,
+              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM t),
+        s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) - size AS before, 4 + length(role) + 2 + length(x) + 8 AS width FROM e),
+        w AS (SELECT *, before // 768 AS own, max(CASE WHEN n = 1 AND role = 'system' THEN width ELSE 0 END) OVER (PARTITION BY conv_id) AS system_width FROM s),
+        v AS (SELECT conv_id, own, min(before) AS at, any_value(system_width) AS system_width,
+              lag(own) OVER (PARTITION BY conv_id ORDER BY own) AS previous FROM w GROUP BY conv_id, own),
+        h AS (SELECT v.conv_id, sum(CASE WHEN w.n = 1 AND w.role = 'system' THEN 0 ELSE w.width END) AS chars
+              FROM v JOIN w ON w.conv_id = v.conv_id AND w.own = v.previous AND w.before >= v.at - 256 GROUP BY v.conv_id),
+        r AS (SELECT conv_id, sum(system_width) AS chars FROM v WHERE own > 0 GROUP BY conv_id),
+        d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+              sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS loss_chars,
+              sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '')) AS loss_sha256, sum(width) AS chars FROM w GROUP BY conv_id)
+        SELECT d.conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256,
+            CAST(d.chars + coalesce(h.chars, 0) + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars
+        FROM d LEFT JOIN h USING (conv_id) LEFT JOIN r USING (conv_id)""",
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
