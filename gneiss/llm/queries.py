@@ -8,6 +8,7 @@ from gneiss.llm.chat import chat_windows, read_back
 from gneiss.llm.embeddings import embedding_groups
 from gneiss.llm.exact_dedup import exact_dedup
 from gneiss.llm.mixing import mix
+from gneiss.llm.packing import pack
 from gneiss.llm.simhash import simhash_groups
 
 
@@ -27,6 +28,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold a chat template's own marks.
 TRAP = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
@@ -42,7 +47,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_groups, op3_embedding_groups, op4_source_mix, op6_chat_windows, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash_groups, op3_embedding_groups, op4_source_mix, op5_best_fit_packing, op6_chat_windows, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
