@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gneiss.llm.chat import chat_windows, read_back
 from gneiss.llm.embeddings import embedding_groups
 from gneiss.llm.exact_dedup import exact_dedup
+from gneiss.llm.html_text import main_text
 from gneiss.llm.mixing import mix
 from gneiss.llm.packing import pack
 from gneiss.llm.simhash import simhash_groups
@@ -42,12 +43,16 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_windows(turns.unionByName(trap)))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_groups, op3_embedding_groups, op4_source_mix, op5_best_fit_packing, op6_chat_windows, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash_groups, op3_embedding_groups, op4_source_mix, op5_best_fit_packing, op6_chat_windows, op7_main_text, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
