@@ -184,7 +184,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for pdf in batches:
             read = [blocks(page) if page else [] for page in pdf["html"]]
             yield pd.DataFrame({
-                "row": pdf["row"], "id": pdf["id"], "url": pdf["url"], "host": pdf["host"],
+                "row": pdf["row"], "id": pdf["id"], "url": pdf["url"].astype(object), "host": pdf["host"].astype(object),
                 "content": [xxhash.xxh64_intdigest("\n".join(t for t, _ in found)) - (1 << 63) for found in read],
                 "texts": [[t for t, _ in found] for found in read],
                 "around": [[h for _, h in found] for found in read],

@@ -11,6 +11,7 @@ from gneiss.llm.html_text import main_text
 from gneiss.llm.mixing import mix
 from gneiss.llm.packing import pack
 from gneiss.llm.simhash import simhash_groups
+from gneiss.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +52,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_groups, op3_embedding_groups, op4_source_mix, op5_best_fit_packing, op6_chat_windows, op7_main_text, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash_groups, op3_embedding_groups, op4_source_mix, op5_best_fit_packing, op6_chat_windows, op7_main_text, op8_exact_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
