@@ -8,6 +8,8 @@ from gneiss.llm.chat import chat_windows, read_back
 from gneiss.llm.embeddings import embedding_groups
 from gneiss.llm.exact_dedup import exact_dedup
 from gneiss.llm.html_text import main_text
+from gneiss.llm.language_model import lm_scores
+from gneiss.llm.licences import licence_scan
 from gneiss.llm.mixing import mix
 from gneiss.llm.packing import pack
 from gneiss.llm.simhash import simhash_groups
@@ -22,6 +24,10 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_table(spark, sf_dir, "embeddings"))
 
@@ -56,8 +62,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_groups, op3_embedding_groups, op4_source_mix, op5_best_fit_packing, op6_chat_windows, op7_main_text, op8_exact_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_groups, op2_lm_scores, op3_embedding_groups, op4_source_mix, op5_best_fit_packing, op6_chat_windows, op7_main_text, op8_exact_dedup, op9_toxicity, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
