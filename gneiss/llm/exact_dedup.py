@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import WS, split_join, staged
+from gneiss.llm.shared import WS, split_join, staged, without
 
 
 def normalised(text: Column) -> Column:
@@ -59,6 +59,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, all columns as they were."""
-    losers = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_lost"))
-    return docs.join(losers, docs[id_col].eqNullSafe(F.col("_lost")), "left_anti")
+    """The rows of docs that exact_dedup keeps, all columns as they were; null ids stay."""
+    return without(docs, exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(id_col), id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import count_words, staged
+from gneiss.llm.shared import count_words, fresh, staged
 
 #: Slots of the schedule, about; blocks a source is cut into, at least; shuffle buckets of each source.
 SLOTS, LEAST_BLOCKS, BUCKETS = 1 << 18, 256, 1024
@@ -109,10 +109,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs, each repeated as often as the mix takes it (to the nearest whole number).
 
     Only the documents at a source's last block edge are taken in part, so whole copies keep each
-    source within about half a document of what `mix` takes. Wordless documents, which no mix takes, go.
+    source within about half a document of what `mix` takes. Wordless documents, which no mix takes, go; null ids stay once.
     """
-    # rows that repeat an id have equal sizes or not; the copies of an id are averaged over its rows
-    taken = mix(docs, id_col, text_col, **how).filter("size > 0")
-    copies = taken.groupBy(F.col(id_col).alias("_taken_id")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies"))
-    kept = docs.join(copies.filter("_copies > 0"), docs[id_col] == F.col("_taken_id"))
-    return kept.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    id_, n, copy = (fresh(docs, x) for x in ("_taken_id", "_copies", "_copy"))
+    # the copies of an id are averaged over the rows that repeat it
+    taken = mix(docs, id_col, text_col, **how).filter((F.col("size") > 0) & F.col(id_col).isNotNull())
+    copies = taken.groupBy(F.col(id_col).alias(id_)).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(n)).filter(F.col(n) > 0)
+    kept = docs.join(copies, docs[id_col] == F.col(id_), "left").withColumn(n, F.when(docs[id_col].isNull(), 1).otherwise(F.col(n)))
+    return kept.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])

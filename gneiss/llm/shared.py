@@ -35,6 +35,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """The name, with underscores added until the frame has no such column."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in lost's one column; null ids stay."""
+    name = fresh(docs, "_lost")
+    return docs.join(lost.toDF(name), docs[id_col] == F.col(name), "left_anti")
+
+
 def count_words(text: Column) -> Column:
     """Number of white-space separated words; null counts as empty."""
     marks = F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WS, "x")

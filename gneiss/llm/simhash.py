@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import HOT, components, split_join, staged
+from gneiss.llm.shared import HOT, components, split_join, staged, without
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles hashed at a time, so that memory does not follow a text's length.
@@ -192,4 +192,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of docs whose id is their component's smallest, all columns as they were; null ids stay."""
     losers = simhash_groups(docs, id_col, text_col, words, max_bits).filter(F.col(id_col) != F.col("component_id"))
-    return docs.join(losers.select(F.col(id_col).alias("_lost")), docs[id_col] == F.col("_lost"), "left_anti")
+    return without(docs, losers.select(id_col), id_col)

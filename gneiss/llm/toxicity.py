@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the lexicon and the regression are fitted on, at most: first by hash of their id.
@@ -233,42 +233,46 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
-    """(id, held_out, score, predicted) for each row of docs.
-
-    Learns from labelled rows that are not held out (crc32 of the id as text, mod 3, is not 1), at most
-    TOXIC_SAMPLE and CLEAN_SAMPLE of them, in order of a hash of their id; a document labelled more than once is toxic
-    if any label says so; null labels are none. Null and empty texts have no hits and get the score of such texts.
-    Null ids are scored and not held out. Without toxic or clean labels to learn from, all scores are the share of toxic labels,
-    or 0.5 with no labels at all. An empty table gives no rows; other columns are not read.
-    """
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Callable[[Column], Column]:
+    """A function from a text column to its toxicity score, learned as `toxicity` says."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_known")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = known.filter(F.crc32(F.col("_known").cast("string")) % 3 != 1)
-    # only rows that have a text can teach
+    # only rows that have a document can teach
     known = known.join(docs.select(F.col(id_col).alias("_known")).distinct(), "_known", "left_semi").withColumn("h", F.xxhash64("_known"))
     few = known.filter("toxic = 1").orderBy("h", "_known").limit(TOXIC_SAMPLE).union(known.filter("toxic = 0").orderBy("h", "_known").limit(CLEAN_SAMPLE))
-    chosen = few.select("_known", "toxic").toPandas()
-    spark = docs.sparkSession
-    shares = chosen["toxic"].mean() if len(chosen) else 0.5
-    if 0 < shares < 1:
-        chosen = spark.createDataFrame(chosen, "_known long, toxic int")
+    chosen = [(r["_known"], r["toxic"]) for r in few.select("_known", "toxic").collect()]
+    share = sum(y for _, y in chosen) / len(chosen) if chosen else 0.5
+    if 0 < share < 1:
+        picked = docs.sparkSession.createDataFrame(chosen, "_known long, toxic int")
         rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-        terms, ordinary, weights = learn(rows.join(F.broadcast(chosen), F.col("_id") == F.col("_known")).select("text", "toxic"))
+        terms, ordinary, weights = learn(rows.join(F.broadcast(picked), F.col("_id") == F.col("_known")).select("text", "toxic"))
     else:
-        terms, ordinary, weights = [], frozenset(), np.append(np.zeros(FEATURES), np.log((shares + 1e-9) / (1 - shares + 1e-9)))
+        terms, ordinary, weights = [], frozenset(), np.append(np.zeros(FEATURES), np.log((share + 1e-9) / (1 - share + 1e-9)))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = Lexicon(terms, ordinary)
-        for pdf in batches:
-            x = np.array([lexicon.features(t) for t in pdf["text"]], float).reshape(len(pdf), FEATURES)
-            yield pd.DataFrame({"_id": pdf["_id"], "held_out": pdf["held_out"], "score": 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1])))})
+        for texts in batches:
+            x = np.array([lexicon.features(t) for t in texts], float).reshape(len(texts), FEATURES)
+            yield pd.Series(1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1]))))
+
+    return score
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    scored = rows.mapInPandas(score, "_id long, held_out boolean, score double")
-    return scored.select(F.col("_id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
+    """(id, held_out, score, predicted) for each row of docs.
+
+    Learns from labelled rows that are not held out (crc32 of the id as text, mod 3, is not 1), at most
+    TOXIC_SAMPLE and CLEAN_SAMPLE of them, in order of a hash of their id; a document labelled more than once is toxic
+    if any label says so; null labels are none. Null and empty texts have no hits and get the score of such texts.
+    Null ids are scored and not held out. Without toxic or clean labels to learn from, all scores are the share of toxic
+    labels, or 0.5 with no labels at all. An empty table gives no rows; other columns are not read.
+    """
+    score = scorer(docs, labels, id_col, text_col, label_col)
+    scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), score(F.col(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that toxicity does not predict toxic, all columns as they were; null ids stay."""
-    losers = toxicity(docs, labels, id_col, text_col).filter("predicted = 1").select(F.col(id_col).alias("_lost"))
-    return docs.join(losers, docs[id_col] == F.col("_lost"), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs whose score is under the threshold, all columns as they were."""
+    return docs.filter(scorer(docs, labels, id_col, text_col)(docs[text_col]) < threshold)
