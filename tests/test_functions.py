@@ -141,3 +141,13 @@ def test_plans_keep_their_shape(spark):
     plan = QUERIES["archive_listing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_sealed_values_belong_to_their_row(spark):
+    from gneiss.functions import secrets
+
+    key, nonce = F.lit(b"0123456789abcdef"), F.lit(b"abcdefghijkl")
+    rows = column(spark, ["a@b.org", ""]).withColumn("row", F.col("i").cast("string"))
+    sealed = rows.withColumn("s", secrets.seal(key, F.col("x"), nonce, F.col("row")))
+    got = sealed.orderBy("i").select(secrets.unseal(key, F.col("s"), F.col("row")), secrets.unseal(key, F.col("s"), F.lit("9")), secrets.unseal(F.lit(b"x" * 16), F.col("s"), F.col("row"))).collect()
+    assert [tuple(r) for r in got] == [("a@b.org", None, None), ("", None, None)]

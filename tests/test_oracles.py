@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import gneiss.plans.catalogue
+import gneiss.plans.contracts
 import gneiss.plans.series
 import gneiss.plans.streams  # noqa: F401
 from gneiss.plans.registry import QUERIES, SQL
