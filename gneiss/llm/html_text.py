@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import split_join, staged
+from gneiss.llm.shared import SMALL, split_join, staged
 
 #: Elements that never hold article text.
 DROPPED = frozenset("head script style noscript template nav aside form button select option input textarea label iframe object embed svg canvas audio video map menu dialog footer math".split())
@@ -201,8 +201,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     recurring = counts.filter(F.col("articles") >= least_pages).join(hosts, "host").filter(F.col("articles") >= least_share * F.col("host_articles"))
     recurring = staged(recurring.groupBy("key").agg(F.sum("rows").alias("rows")), "templates")
     found = split_join(inside.select("row", "subtree", "key"), recurring.select("key", "rows"), "key", "rows", read.count(), F.col("row"))
-    removed = found.filter("rows is not null").groupBy("row").agg(F.collect_set("subtree").alias("removed"))
-    joined = read.join(removed, "row", "left")
+    removed = staged(found.filter("rows is not null").groupBy("row").agg(F.collect_set("subtree").alias("removed")), "removed")
+    joined = read.join(F.broadcast(removed) if removed.count() <= SMALL else removed, "row", "left")
     pairs = F.arrays_zip("texts", "around")
     kept = F.when(F.col("removed").isNull(), F.col("texts")).otherwise(
         F.transform(F.filter(pairs, lambda b: ~F.arrays_overlap(b["around"], F.col("removed"))), lambda b: b["texts"])

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]+"
 NOT_WS = r"[^\x20\x09-\x0D]+"
+#: A frame of at most this many rows is broadcast, after its rows are counted; a larger one is shuffled.
+SMALL = 20_000
 #: At most this many keys can each hold over 1/HOT of all rows, so a table of them can be broadcast at any size.
 HOT = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gneiss-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gneiss-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
@@ -31,7 +34,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gneiss/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +52,12 @@ def without(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
     return docs.join(lost.toDF(name), docs[id_col] == F.col(name), "left_anti")
 
 
+def hash_sample(frame: DataFrame, keys: list[str], rows: int, total: int, seed: int = 1) -> DataFrame:
+    """About `rows` of the frame's `total` rows (all, if it has fewer), chosen by a hash of keys: the same ones each time."""
+    share = min(1.0, rows / max(1, total))
+    return frame.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def count_words(text: Column) -> Column:
     """Number of white-space separated words; null counts as empty."""
     marks = F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WS, "x")
