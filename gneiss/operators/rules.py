@@ -30,7 +30,7 @@ def evidence(codes: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in codes.items()]))
 
 
-#: The hold and exclusion gates of a series, in order: condition over the columns of a grouped series, decision, kind.
+#: The hold and exclusion gates of a series, in order: condition over the columns of a grouped series, decision, kind.
 GATES = (
     ("coalesce(study_uid, '') = '' or coalesce(series_uid, '') = ''", "held", "missing_required_uid"),
     ("duplicate_instance", "held", "invalid_sop_instance_identity"),
