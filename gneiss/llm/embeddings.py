@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import components, split_join, staged
+from gneiss.llm.shared import components, hash_sample, split_join, staged
 from gneiss.llm.simhash import merge
 
 #: Vectors a tile should hold, rows of the sample that fits axes and tile edges, leading axes of tile boxes.
@@ -99,8 +99,8 @@ def embedding_groups(table: DataFrame, threshold: float = 0.9, id_col: str = "ve
     no links, a component of their own, kept. Rows with a null id are counted by no vector and have a null component.
     Rows that repeat an id each get a row. An empty table gives no rows; other columns are not read.
 
-    Equal vectors are one distinct vector with a weight. Axes and tile edges come from sample_rows distinct vectors,
-    the first by hash (they shape the tiles only; every vector is compared). Every link is counted; for groups a tile
+    Equal vectors are one distinct vector with a weight. Axes and tile edges come from about sample_rows distinct
+    vectors chosen by hash (they shape the tiles only; every vector is compared). Every link is counted; for groups a tile
     pair returns spanning links only.
     """
     spark = table.sparkSession
@@ -116,7 +116,9 @@ def embedding_groups(table: DataFrame, threshold: float = 0.9, id_col: str = "ve
     good = rows.filter("ok").select("_id", "v")
     distinct = staged(good.groupBy("v").agg(F.min("_id").alias("node"), F.count("*").alias("weight")), "vectors")
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("v"), "node").limit(sample_rows).select("v").toPandas()["v"]
+    sample = hash_sample(distinct, ["v"], sample_rows, n).select("v").limit(2 * sample_rows).toPandas()["v"]
+    if not len(sample):
+        sample = distinct.select("v").limit(1).toPandas()["v"]
     sample = unit(np.stack(sample.to_numpy()).astype(np.float64))
     turn = axes(sample)
     leaves = 1

@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     rows = hashed.select("_id", "_key", "_sha")
     total = groups.agg(F.sum("group_size")).first()[0] or 0
-    found = split_join(rows, groups, "_key", "group_size", total, F.col("_sha") if total == 0 else F.coalesce(F.col("_id"), F.lit(0)))
+    found = split_join(rows, groups, "_key", "group_size", total, F.col("_id"))
     out = ["_id", "keep_id", "group_size", "_sha"]
     collided = groups.filter("texts > 1").select("_key")
     if collided.isEmpty():
