@@ -2,7 +2,8 @@
 
 The lexicon (words, and stems that take any ending) is learned from labelled documents. Its trie, walked by
 Levenshtein automata made deterministic state by state, finds terms and misspelled terms. Each hit's window tells
-quoted from direct use; a logistic regression on these counts gives the score.
+quoted from direct use. Loose stems, which clean documents hold too by chance, lie in a trie of their own and
+count by their number; a logistic regression on all these counts gives the score.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ EDGES = ".,;:!?()[]{}<>|/\\+=~`^…-–—_*#&%$" + "\"'“”„‟«»‹›
 QUOTES = re.compile("[\"“”„‟«»‹›‘’‚]|(?<!\\w)'|'(?!\\w)")
 #: Words that report what others say.
 REPORTING = frozenset("said says say called calls quoted quote wrote writes word term slur sagte nennt wort dit mot appelé dijo llamó palabra".split())
-FEATURES = 6
+FEATURES = 9
+#: Loose stems also occur in clean documents by chance: how many standard deviations more often than by chance
+#: they must be in toxic ones, and the share of these they must be in. They count by how many of them a text holds.
+SURPRISE, LOOSE_SHARE, LOOSE = 5.0, 0.02, 200
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,7 +47,7 @@ def candidates(words: set[str]) -> set[str]:
 class Lexicon:
     """The trie of terms, with automata for misspelled ones; `hit` is memoised by word and by state."""
 
-    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset()):
+    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset(), loose: list[str] | None = None):
         self.children: list[dict[str, int]] = [{}]
         self.edits: list[int] = [-1]  # edits a word that ends here may have; -1: no word ends here
         self.stem: list[bool] = [False]
@@ -62,6 +66,7 @@ class Lexicon:
                 self.edits[node] = 2 if len(plain) >= TWO_EDITS else 1 if len(plain) >= ONE_EDIT else 0
         self.most = max(self.edits)
         self.ordinary = ordinary
+        self.loose = Lexicon(loose) if loose else None
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -129,9 +134,13 @@ class Lexicon:
     def features(self, text: str | None) -> list[float]:
         """Counts of a text: direct, quoted and misspelled hits and how they lie in it."""
         tokens = (text or "").lower().split()
-        near = {t for t in set(tokens) if (w := t.strip(EDGES)) and self.hit(w) >= 0}
-        if not near:
+        found = {t: w for t in set(tokens) if (w := t.strip(EDGES))}
+        near = {t for t, w in found.items() if self.hit(w) >= 0}
+        stems = {t for t, w in found.items() if self.loose.hit(w) >= 0} if self.loose else set()
+        if not near and not stems:
             return [0.0] * FEATURES
+        held = sum(t in stems for t in tokens) if stems else 0
+        loose = [math.log1p(len({found[t] for t in stems})), math.log1p(held), min(1.0, 20 * held / len(tokens))]
         direct = quoted = misspelled = close = 0
         last = -10 * WINDOW
         for i, t in enumerate(tokens):
@@ -150,7 +159,7 @@ class Lexicon:
             close += i - last <= WINDOW
             last = i
         mass = direct + 0.7 * misspelled + 0.3 * quoted
-        return [min(1.0, mass), math.log1p(mass), math.log1p(quoted), math.log1p(misspelled), math.log1p(close), min(1.0, 20 * mass / len(tokens))]
+        return [min(1.0, mass), math.log1p(mass), math.log1p(quoted), math.log1p(misspelled), math.log1p(close), min(1.0, 20 * mass / len(tokens)), *loose]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 60) -> np.ndarray:
@@ -167,8 +176,8 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
     return w
 
 
-def learn(sample: DataFrame) -> tuple[list[str], frozenset[str], np.ndarray]:
-    """Lexicon, ordinary words near its terms, and weights, from a bounded sample (text, toxic).
+def learn(sample: DataFrame) -> tuple[list[str], frozenset[str], list[str], np.ndarray]:
+    """Lexicon, ordinary words near its terms, loose stems, and weights, from a bounded sample (text, toxic).
 
     Spark counts the documents of each candidate; the greedy choice on the driver takes the candidate that
     explains most toxic documents that none explains yet, for as long as it explains LEAST of them.
@@ -208,6 +217,12 @@ def learn(sample: DataFrame) -> tuple[list[str], frozenset[str], np.ndarray]:
     floor = max(2 * LEAST, 0.02 * len(held_terms))
     strong |= {r["term"] for r in fit.filter(F.col("clean") == 0).filter(F.col("toxic") >= floor).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()}
     terms = sorted(strong)
+    # stems that are far more common in toxic documents than by chance, though clean ones hold them too
+    n_toxic, n_clean = len(held_terms), sample.filter("toxic = 0").count()
+    usual = (F.col("toxic") + F.col("clean")) * (n_toxic / max(1, n_toxic + n_clean))
+    surprise = (F.col("toxic") - usual) / F.sqrt(usual + 1)
+    often = sums.filter(F.col("term").endswith("*") & (F.col("clean") * 20 > F.col("toxic")) & (F.col("toxic") >= max(2 * LEAST, LOOSE_SHARE * n_toxic)) & (surprise >= SURPRISE))
+    loose = sorted(r["term"] for r in often.orderBy(surprise.desc(), F.length("term").desc(), "term").limit(LOOSE).collect())
     plain = Lexicon(terms)
 
     def edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +231,7 @@ def learn(sample: DataFrame) -> tuple[list[str], frozenset[str], np.ndarray]:
             yield pd.DataFrame({"word": pd.Series(words, dtype=object)})
 
     ordinary = frozenset(r["word"] for r in sample.filter("toxic = 0").mapInPandas(edited, "word string").distinct().collect())
-    fitted = Lexicon(terms, ordinary)
+    fitted = Lexicon(terms, ordinary, loose)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -225,8 +240,8 @@ def learn(sample: DataFrame) -> tuple[list[str], frozenset[str], np.ndarray]:
     rows = sample.mapInPandas(measure, "x array<double>, y double").toPandas()
     sample.unpersist()
     if not len(rows):
-        return terms, ordinary, np.zeros(FEATURES + 1)
-    return terms, ordinary, logistic(np.stack(rows["x"].to_numpy()).astype(float), rows["y"].to_numpy())
+        return terms, ordinary, loose, np.zeros(FEATURES + 1)
+    return terms, ordinary, loose, logistic(np.stack(rows["x"].to_numpy()).astype(float), rows["y"].to_numpy())
 
 
 def held_out(id_col: str):
@@ -245,13 +260,15 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if 0 < share < 1:
         picked = docs.sparkSession.createDataFrame(chosen, "_known long, toxic int")
         rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-        terms, ordinary, weights = learn(rows.join(F.broadcast(picked), F.col("_id") == F.col("_known")).select("text", "toxic"))
+        # copies of a text teach once, or all words of a much copied one would seem terms
+        texts = rows.join(F.broadcast(picked), F.col("_id") == F.col("_known")).groupBy("text").agg(F.max("toxic").alias("toxic"))
+        terms, ordinary, loose, weights = learn(texts)
     else:
-        terms, ordinary, weights = [], frozenset(), np.append(np.zeros(FEATURES), np.log((share + 1e-9) / (1 - share + 1e-9)))
+        terms, ordinary, loose, weights = [], frozenset(), [], np.append(np.zeros(FEATURES), np.log((share + 1e-9) / (1 - share + 1e-9)))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lexicon = Lexicon(terms, ordinary)
+        lexicon = Lexicon(terms, ordinary, loose)
         for texts in batches:
             x = np.array([lexicon.features(t) for t in texts], float).reshape(len(texts), FEATURES)
             yield pd.Series(1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1]))))
