@@ -70,6 +70,17 @@ def test_spellings_are_probabilities():
     assert model.log2([b"banana"])[0] > model.log2([b"xqzvkj"])[0] + 8
 
 
+def test_language_model_charges_long_words_in_full(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(200) if i not in held]
+    rows += [(i, "".join(rng.choice("0123456789abcdef") for _ in range(n))) for i, n in zip(held, (1000, 50_000))]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in language_model.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # random hexadecimal digits hold four bits each, in a long run as in a short one
+    assert all(got[i] > 3.9 for i in held)
+
+
 def test_language_model_beats_base_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     row = language_model.lm_scores(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
