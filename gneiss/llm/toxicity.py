@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -38,6 +39,10 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (x.strip(EDGES) for x in (text or "").lower().split()) if w]
 
 
+def half(text: str | None) -> int:
+    return zlib.crc32((text or "").encode()) & 1
+
+
 def candidates(words: set[str]) -> set[str]:
     """The words, and their stems of four letters and more, marked by a closing asterisk."""
     found = {w for w in words if 3 <= len(w) <= 30}
@@ -45,28 +50,35 @@ def candidates(words: set[str]) -> set[str]:
 
 
 class Lexicon:
-    """The trie of terms, with automata for misspelled ones; `hit` is memoised by word and by state."""
+    """The trie of terms, with automata for misspelled ones; `hit` is memoised by word and by state.
+
+    A stem takes any ending, also where the stem itself is misspelled. `first`: a word's first letter may be edited as
+    any other. `exact`: no edits at all.
+    """
 
-    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset(), loose: list[str] | None = None):
+    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset(), loose: list[str] | None = None, first: bool = False, exact: bool = False):
         self.children: list[dict[str, int]] = [{}]
         self.edits: list[int] = [-1]  # edits a word that ends here may have; -1: no word ends here
-        self.stem: list[bool] = [False]
+        self.stem: list[int] = [-1]  # the same of a stem
+        self.reach: list[int] = [0]  # most edits of what ends here or below
         for term in terms:
-            node, plain = 0, term.rstrip("*")
+            plain = term.rstrip("*")
+            budget = 0 if exact else 2 if len(plain) >= TWO_EDITS else 1 if len(plain) >= ONE_EDIT else 0
+            node, path = 0, [0]
             for c in plain:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
-                    self.edits.append(-1)
-                    self.stem.append(False)
+                    for values in (self.edits, self.stem, self.reach):
+                        values.append(-1)
                 node = self.children[node][c]
-            if term.endswith("*"):
-                self.stem[node] = True
-            else:
-                self.edits[node] = 2 if len(plain) >= TWO_EDITS else 1 if len(plain) >= ONE_EDIT else 0
-        self.most = max(self.edits)
+                path.append(node)
+            (self.stem if term.endswith("*") else self.edits)[node] = budget
+            for on in path:
+                self.reach[on] = max(self.reach[on], budget)
+        self.first = first
         self.ordinary = ordinary
-        self.loose = Lexicon(loose) if loose else None
+        self.loose = Lexicon(loose, exact=True) if loose else None
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -74,45 +86,63 @@ class Lexicon:
         self.known: dict[str, int] = {}
         self.start = self.state({(0, 0)})
 
+    def editable(self, node: int, edits: int) -> bool:
+        """Whether one more edit may be made at the place: not before the first letter, unless `first`."""
+        return (node > 0 or self.first and node == 0) and edits < self.reach[node]
+
     def state(self, places: set[tuple[int, int]]) -> int:
-        """Number of the deterministic state: places are (trie node, edits so far), deletions of trie letters included."""
-        open_ = [p for p in places if p[0]]
+        """Number of the deterministic state: places are (trie node, edits so far), deletions of trie letters included.
+
+        Node -1 is a complete stem, which any letters follow. Places that can lead to no hit, or to none with
+        fewer edits than a complete stem has, are left out; with none left the state is -1.
+        """
+        open_ = list(places)
         places = set(places)
         while open_:
             node, edits = open_.pop()
-            if edits < self.most:
+            if self.editable(node, edits):
                 for child in self.children[node].values():
                     if (child, edits + 1) not in places:
                         places.add((child, edits + 1))
                         open_.append((child, edits + 1))
+        done = min((e for n, e in places if n < 0 or e <= self.stem[n]), default=9)
         least: dict[int, int] = {}
         for node, edits in places:
-            least[node] = min(edits, least.get(node, 9))
+            if node >= 0 and edits <= self.reach[node] and edits < done:
+                least[node] = min(edits, least.get(node, 9))
+        if done < 9:
+            least[-1] = done
+        if not least:
+            return -1
         key = frozenset(least.items())
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            self.final.append(min((e for n, e in key if e <= self.edits[n]), default=-1))
+            self.final.append(min((e for n, e in key if n < 0 or e <= self.edits[n]), default=-1))
         return self.states[key]
 
     def step(self, state: int, c: str) -> int:
-        """The next state; -1: no term left, -2: a stem is complete."""
+        """The next state; -1: no term left, -2: a stem is complete without edits."""
         after: set[tuple[int, int]] = set()
         for node, edits in self.sets[state]:
+            if node < 0:
+                after.add((node, edits))
+                continue
+            editable = self.editable(node, edits)
             for letter, child in self.children[node].items():
                 if letter == c:
-                    if self.stem[child] and not edits:
+                    if self.stem[child] >= 0 and not edits:
                         return -2
                     after.add((child, edits))
-                elif node and edits < self.most:  # a word's first letter is never edited
+                elif editable:
                     after.add((child, edits + 1))
-            if node and edits < self.most:
+            if editable:
                 after.add((node, edits + 1))
-        return self.state(after) if after else -1
+        return self.state(after)
 
     def hit(self, word: str) -> int:
-        """Edits between the word and the nearest term (0 for a stem), or -1."""
+        """Edits between the word, or for a stem a beginning of it, and the nearest term, or -1."""
         found = self.known.get(word)
         if found is None:
             state = self.start
@@ -223,19 +253,21 @@ def learn(sample: DataFrame) -> tuple[list[str], frozenset[str], list[str], np.n
     surprise = (F.col("toxic") - usual) / F.sqrt(usual + 1)
     often = sums.filter(F.col("term").endswith("*") & (F.col("clean") * 20 > F.col("toxic")) & (F.col("toxic") >= max(2 * LEAST, LOOSE_SHARE * n_toxic)) & (surprise >= SURPRISE))
     loose = sorted(r["term"] for r in often.orderBy(surprise.desc(), F.length("term").desc(), "term").limit(LOOSE).collect())
-    plain = Lexicon(terms)
+    plain = Lexicon(terms, first=True)
 
     def edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = sorted({w for t in pdf["text"] for w in set(words_of(t)) if plain.hit(w) > 0})
-            yield pd.DataFrame({"word": pd.Series(words, dtype=object)})
+            words = sorted({(half(t), w) for t in pdf["text"] for w in set(words_of(t)) if plain.hit(w) > 0})
+            yield pd.DataFrame({"half": pd.Series([h for h, _ in words], dtype="int64"), "word": pd.Series([w for _, w in words], dtype=object)})
 
-    ordinary = frozenset(r["word"] for r in sample.filter("toxic = 0").mapInPandas(edited, "word string").distinct().collect())
-    fitted = Lexicon(terms, ordinary, loose)
+    by_half = [(r["half"], r["word"]) for r in sample.filter("toxic = 0").mapInPandas(edited, "half long, word string").distinct().collect()]
+    ordinary = frozenset(w for _, w in by_half)
+    # a text's own words would hide how often unseen ones come near a term, so each half is fitted with those of the other
+    fitted = [Lexicon(terms, frozenset(w for h, w in by_half if h != k), loose, first=True) for k in (0, 1)]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": [fitted.features(t) for t in pdf["text"]], "y": pdf["toxic"].astype("float64")})
+            yield pd.DataFrame({"x": [fitted[half(t)].features(t) for t in pdf["text"]], "y": pdf["toxic"].astype("float64")})
 
     rows = sample.mapInPandas(measure, "x array<double>, y double").toPandas()
     sample.unpersist()
@@ -268,7 +300,7 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lexicon = Lexicon(terms, ordinary, loose)
+        lexicon = Lexicon(terms, ordinary, loose, first=True)
         for texts in batches:
             x = np.array([lexicon.features(t) for t in texts], float).reshape(len(texts), FEATURES)
             yield pd.Series(1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1]))))

@@ -344,6 +344,32 @@ def test_automata_agree_with_edit_distance():
     assert lexicon.hit("vequta") == 0 and lexicon.hit("veq") == -1
 
 
+def test_stems_and_first_letters_take_edits():
+    rng = random.Random(8)
+    terms = ["scum", "loser", "disgusting", "vequ*", "idiot*", "morondal*"]
+    lexicon = toxicity.Lexicon(terms, first=True)
+    budget = {"scum": 0, "loser": 1, "disgusting": 2, "vequ*": 0, "idiot*": 1, "morondal*": 1}
+
+    def nearest(w):
+        found = []
+        for t in terms:
+            heads = [w[:n] for n in range(len(w) + 1)] if t.endswith("*") else [w]
+            least = min(edits(h, t.rstrip("*")) for h in heads)
+            found += [least] if least <= budget[t] else []
+        return min(found, default=-1)
+
+    words = {"xdiotic", "idjotic", "diotas", "iidiots", "0oser", "oser", "loserx", "veqa", "xequ", "scim", "idio", "morandaling", ""}
+    for _ in range(1500):
+        w = list(rng.choice(terms).rstrip("*") + rng.choice(["", "s", "ing"]))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = rng.choice(["", "x", "e", "0"])
+            w = w or ["s"]
+        words.add("".join(w))
+    assert all(lexicon.hit(w) == nearest(w) for w in words)
+    assert [lexicon.hit(w) for w in ("xdiotic", "idjotic", "0oser", "veqa")] == [1, 1, 1, -1]
+
+
 def test_toxicity_learns_and_scores(spark):
     rng = random.Random(5)
     plain = [f"wort{chr(97 + i % 26)}{i}" for i in range(200)]
