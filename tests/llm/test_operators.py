@@ -407,33 +407,95 @@ def test_quotation_counts_less():
 
 # op10
 
-
-def test_licences_are_found_and_confirmed(spark):
+#: Statements as projects write them; none is a template, most are broken over lines.
+NOTICES = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "agpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "cc-by-sa": "Figures in this chapter may be shared under CC BY-SA 4.0\nwherever their makers are named",
+}
+#: Licences of no family here, and prose that shares words with statements.
+STRANGE = [
+    "This program is made available under the Eclipse Public License v2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "The season's license to visit the general public house is free under the terms of the house",
+    "Licensed under the EUPL version 1.2 by the public office of the general staff",
+    "All rights reserved.",
+]
+
+
+def licence_corpus():
     rng = random.Random(6)
-    filler = ["thon", "rean", "mit", "der", "and", "public", "license", "under", "general", "house"]
+    filler = ["thon", "rean", "von", "der", "and", "public", "license", "under", "general", "house"]
     line = lambda: " ".join(rng.choice(filler) for _ in range(rng.randrange(3, 25)))
     rows, want = [], {}
     for i in range(240):
         lines = [line() for _ in range(rng.randrange(1, 6))]
-        family = None
         if i % 4 == 0:
-            family = licences.FAMILIES[i // 4 % len(licences.FAMILIES)]
-            text = licences.TEMPLATES[family][i // 48 % len(licences.TEMPLATES[family])].replace("#", "3")
-            lines.insert(rng.randrange(len(lines) + 1), text)
+            name = list(NOTICES)[i // 4 % len(NOTICES)]
+            lines.insert(rng.randrange(len(lines) + 1), NOTICES[name])
+            want[i] = name
         rows.append((i, "\n".join(lines)))
-        want[i] = family or licences.UNKNOWN
-    rows += [(900, None), (901, ""), (None, "Released under the MIT License."), (902, "word " * 30000 + "Released under the MIT License. " + "word " * 50)]
+    for k, text in enumerate(STRANGE):
+        rows.append((300 + k, line() + "\n" + text))
+    return rows, want
+
+
+def slow_families(model, text):
+    """Families confirmed by trying every window that starts at a word, of several lengths: plain Python over sets."""
+    found = set()
+    for paragraph in licences.paragraphs(text):
+        words = licences.words_of(paragraph)
+        for size in (8, 16, 40, 120):
+            for at in range(max(1, len(words) - size + 1)):
+                features = set(words[at : at + size]) - {"#"} | {f"{a} {b}" for a, b in zip(words[at : at + size], words[at + 1 : at + size])}
+                p = model.scores(features)
+                k = max(range(len(p) - 1), key=lambda k: p[k])
+                shares = {}
+                for f, t, own in model.templates:
+                    if 2 * len(own & features) >= len(own):
+                        shares[f] = max(shares.get(f, 0), len(t & features) / len(t))
+                best = shares.get(licences.FAMILIES[k], 0)
+                if p[k] >= model.least and best >= 0.5 and best == max(shares.values()):
+                    found.add(licences.FAMILIES[k])
+    return found
+
+
+def test_licences_are_found_and_confirmed(spark):
+    rows, want = licence_corpus()
+    two = "word " * 50 + "This module is offered under the MIT license " + "zebra " * 200 + " figures may be shared under CC BY-SA 4.0 " + "word " * 30
+    rows += [(900, None), (901, ""), (None, NOTICES["mit"]), (902, "word " * 30000 + NOTICES["gpl"].replace("\n", " ") + " word" * 50), (903, two), (904, NOTICES["apache"] + "\n\n" + NOTICES["bsd"]), (904, "x")]
     docs = extra(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r["doc_id"]: r for r in licences.licence_scan(docs).collect()}
-    right = sum(got[i]["licence"] == f for i, f in want.items())
-    assert right >= 0.97 * len(want)
-    assert all(got[i]["licence"] == licences.UNKNOWN for i, f in want.items() if f == licences.UNKNOWN)
-    assert got[900]["licence"] == got[901]["licence"] == licences.UNKNOWN and got[None]["licence"] == "mit" == got[902]["licence"]
+    got = {}
+    for r in licences.licence_scan(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    one = {i: r[0] for i, r in got.items() if len(r) == 1}
+    assert {i: one[i]["licence"] for i in range(240)} == {i: want.get(i, licences.UNKNOWN) for i in range(240)}
+    assert all(one[i]["families"] == [f] and one[i]["n_paragraphs"] >= 1 for i, f in want.items())
+    assert all(one[300 + k]["licence"] == licences.UNKNOWN for k in range(len(STRANGE)))
+    assert one[900]["licence"] == one[901]["licence"] == licences.UNKNOWN and one[None]["licence"] == "mit" and one[902]["licence"] == "gpl"
+    assert one[903]["families"] == ["cc-by-sa", "mit"]
+    assert sorted(r["families"] for r in got[904]) == [[], ["apache", "bsd"]]
     assert licences.licence_scan(docs.limit(0)).count() == 0
-    # the fast path skips only paragraphs that the whole model finds unknown
-    model = licences.fit(docs, "doc_id", "text")
-    for _, text in rows[:240]:
-        for p in text.split("\n"):
-            scores = model.scores(sorted(set(licences.grams(licences.words_of(p)))))
-            if max(scores.values()) >= model.least:
-                assert model.predict(p) is not None
+
+
+def test_marked_windows_find_what_all_windows_find(spark):
+    rows, want = licence_corpus()
+    model = licences.fit(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    for i, text in rows[:80] + rows[240:]:
+        found = {w[0] for p in licences.paragraphs(text) for w in model.statements(p) if w[3]}
+        assert found == slow_families(model, text) == ({want[i]} if i in want else set())
+
+
+def test_classifier_and_templates_both_decide(spark):
+    """Without the classifier's unknown class, or without templates, strange licences would pass."""
+    rows, _ = licence_corpus()
+    model = licences.fit(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    model.least = 0.0
+    assert any(model.statements(t) for t in STRANGE)
+    assert not any(w[3] for t in STRANGE for w in model.statements(t))
