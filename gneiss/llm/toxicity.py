@@ -30,6 +30,8 @@ QUOTES = re.compile("[\"“”„‟«»‹›‘’‚]|(?<!\\w)'|'(?!\\w)")
 #: Words that report what others say.
 REPORTING = frozenset("said says say called calls quoted quote wrote writes word term slur sagte nennt wort dit mot appelé dijo llamó palabra".split())
 FEATURES = 9
+#: One clean text in so many is also taught with a quotation planted in it.
+QUOTED = 4
 #: Loose stems also occur in clean documents by chance: how many standard deviations more often than by chance
 #: they must be in toxic ones, and the share of these they must be in. They count by how many of them a text holds.
 SURPRISE, LOOSE_SHARE, LOOSE = 5.0, 0.02, 200
@@ -53,10 +55,10 @@ class Lexicon:
     """The trie of terms, with automata for misspelled ones; `hit` is memoised by word and by state.
 
     A stem takes any ending, also where the stem itself is misspelled. `first`: a word's first letter may be edited as
-    any other. `exact`: no edits at all.
+    any other. `exact`: no edits at all. `context`: quotation marks and reporting words tell quoted from direct use.
     """
 
-    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset(), loose: list[str] | None = None, first: bool = False, exact: bool = False):
+    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset(), loose: list[str] | None = None, first: bool = False, exact: bool = False, context: bool = True):
         self.children: list[dict[str, int]] = [{}]
         self.edits: list[int] = [-1]  # edits a word that ends here may have; -1: no word ends here
         self.stem: list[int] = [-1]  # the same of a stem
@@ -77,6 +79,7 @@ class Lexicon:
             for on in path:
                 self.reach[on] = max(self.reach[on], budget)
         self.first = first
+        self.context = context
         self.ordinary = ordinary
         self.loose = Lexicon(loose, exact=True) if loose else None
         self.states: dict[frozenset, int] = {}
@@ -182,7 +185,7 @@ class Lexicon:
             after = len(QUOTES.findall(" ".join(right))) + bool(QUOTES.search(t[1:]))
             if self.hit(t.strip(EDGES)) > 0:
                 misspelled += 1
-            elif before % 2 and after or any(w.strip(EDGES) in REPORTING for w in left[-2:]):
+            elif self.context and (before % 2 and after or any(w.strip(EDGES) in REPORTING for w in left[-2:])):
                 quoted += 1
             else:
                 direct += 1
@@ -192,6 +195,27 @@ class Lexicon:
         return [min(1.0, mass), math.log1p(mass), math.log1p(quoted), math.log1p(misspelled), math.log1p(close), min(1.0, 20 * mass / len(tokens)), *loose]
 
 
+def misspelled(text: str, lexicon: Lexicon) -> str | None:
+    """The text with one letter of each term it holds exactly replaced, doubled or left out, by a hash; None if it holds none."""
+    found, changed = (text or "").lower().split(), False
+    for i, t in enumerate(found):
+        w = t.strip(EDGES)
+        if len(w) >= ONE_EDIT and lexicon.hit(w) == 0:
+            h = zlib.crc32(f"{i} {w}".encode())
+            at, letter = h % len(w), "*0aeiouxz"[h // 64 % 9]
+            found[i] = t.replace(w, w[:at] + (letter, "", w[at] * 2)[h // 8 % 3] + w[at + 1 :])
+            changed = True
+    return " ".join(found) if changed else None
+
+
+def quoting(text: str, terms: list[str]) -> str:
+    """The text with a passage that quotes a term, at a place chosen by a hash."""
+    found, h = (text or "").split(), zlib.crc32((text or "").encode())
+    at, term = h % (len(found) + 1), terms[h % len(terms)].rstrip("*")
+    report = sorted(REPORTING)[h // 7 % len(REPORTING)]
+    return " ".join([*found[:at], *((report, f'"{term}"') if h & 8 else (f'"{term}"', report)), *found[at:]])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 60) -> np.ndarray:
     """Weights of a regularised logistic regression, the constant last, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -206,11 +230,12 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
     return w
 
 
-def learn(sample: DataFrame) -> tuple[list[str], frozenset[str], list[str], np.ndarray]:
+def learn(sample: DataFrame, plant: bool = True) -> tuple[list[str], frozenset[str], list[str], np.ndarray]:
     """Lexicon, ordinary words near its terms, loose stems, and weights, from a bounded sample (text, toxic).
 
     Spark counts the documents of each candidate; the greedy choice on the driver takes the candidate that
-    explains most toxic documents that none explains yet, for as long as it explains LEAST of them.
+    explains most toxic documents that none explains yet, for as long as it explains LEAST of them. `plant`: toxic texts
+    with their terms misspelled, and every QUOTED-th clean one with a term quoted, teach too.
     """
     sample = sample.repartition(24).persist()
 
@@ -269,7 +294,17 @@ def learn(sample: DataFrame) -> tuple[list[str], frozenset[str], list[str], np.n
         for pdf in batches:
             yield pd.DataFrame({"x": [fitted[half(t)].features(t) for t in pdf["text"]], "y": pdf["toxic"].astype("float64")})
 
-    rows = sample.mapInPandas(measure, "x array<double>, y double").toPandas()
+    # few labelled texts misspell a term or quote one: planted ones of both kinds teach what such hits weigh
+    words = [t for t in terms if not t.endswith("*")] or terms
+
+    def planted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            wrong = [m for t, y in zip(pdf["text"], pdf["toxic"]) if y and (m := misspelled(t, plain))]
+            quotes = [quoting(t, words) for t, y in zip(pdf["text"], pdf["toxic"]) if not y and words and zlib.crc32((t or "").encode()) % QUOTED == 0]
+            yield pd.DataFrame({"text": pd.Series(wrong + quotes, dtype=object), "toxic": pd.Series([1] * len(wrong) + [0] * len(quotes), dtype="int32")})
+
+    every = sample.unionByName(sample.mapInPandas(planted, "text string, toxic int")) if plant else sample
+    rows = every.mapInPandas(measure, "x array<double>, y double").toPandas()
     sample.unpersist()
     if not len(rows):
         return terms, ordinary, loose, np.zeros(FEATURES + 1)

@@ -405,6 +405,29 @@ def test_quotation_counts_less():
     assert lexicon.features("nothing here") == [0.0] * toxicity.FEATURES == lexicon.features(None)
 
 
+def test_edits_and_context_decide(spark):
+    """On held-out rows misspelled terms are found by edits alone, and quotations stay clean by context alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("length(text) < 3000")
+    rows = docs.select("doc_id", "text", "toxic").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    train = {r["text"]: r["toxic"] for r in rows if not held(r["doc_id"])}
+    terms, ordinary, loose, w = toxicity.learn(spark.createDataFrame(list(train.items()), "text string, toxic int"))
+    plain = toxicity.Lexicon(terms, first=True)
+
+    def positives(texts, **how):
+        lexicon = toxicity.Lexicon(terms, ordinary, loose, **how)
+        x = np.array([lexicon.features(t) for t in texts])
+        return int((1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) >= 0.7).sum())
+
+    wrong = [m for r in rows if held(r["doc_id"]) and r["toxic"] and (m := toxicity.misspelled(r["text"], plain))]
+    words = [t for t in terms if not t.endswith("*")]
+    clean = [r["text"] for r in rows if held(r["doc_id"]) and not r["toxic"]][:600]
+    quotes = [toxicity.quoting(t, words) for t in clean]
+    assert positives(wrong, first=True) >= 0.8 * len(wrong) and positives(wrong, exact=True) <= 0.7 * len(wrong)
+    assert positives(quotes, first=True) <= 0.01 * len(quotes) and positives(quotes, first=True, context=False) >= 0.1 * len(quotes)
+    assert positives(clean, first=True) <= 0.005 * len(clean)
+
+
 # op10
 
 #: Statements as projects write them; none is a template, most are broken over lines.
