@@ -2,7 +2,8 @@
 
 Each page is read once into text blocks; a block knows the hashes of the element subtrees around it that may
 be templates. Spark counts each subtree hash over the different articles of its host, and blocks inside subtrees
-that recur in many of them are deleted.
+that recur in many of them are deleted. What is left decides where the main text lies: in articles, else in the main
+element, else in the body.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-#: A subtree is a template where it recurs in so many different articles of a host, and in this share of them.
+#: A subtree is a template where it recurs in so many different articles of a host, however large the host; inside an
+#: article also in this share of them.
 LEAST_PAGES, LEAST_SHARE = 8, 0.1
 
 TOKEN = re.compile(
@@ -75,9 +77,12 @@ class Element:
         self.parts: list[bytes] = []
 
 
-def blocks(page: str) -> list[tuple[str, list[int]]]:
-    """(text, hashes of the subtrees around it that may be templates) of each text block, in page order."""
-    found: list[tuple[str, list[int], int]] = []  # text, hashes, whether inside main (1) or an article (2)
+def blocks(page: str) -> list[tuple[str, list[int], int]]:
+    """(text, hashes of the subtrees around it that may be templates, rank) of each text block, in page order.
+
+    The rank is 2 in an article, 1 in a main element, else 0. Hashes of subtrees inside an article are even, others odd.
+    """
+    found: list[tuple[str, list[int], int]] = []
     stack = [Element("", False, False, False, 0)]
     text: list[str] = []
 
@@ -96,6 +101,7 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
         own -= (own >> 63) << 64
         stack[-1].parts.append(own.to_bytes(8, "little", signed=True))
         if element.template and not element.dropped:
+            own = own & ~1 if element.article else own | 1
             for _, hashes, _ in found[element.first :]:
                 hashes.append(own)
 
@@ -164,17 +170,23 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
     flush()
     while len(stack) > 1:
         close()
-    best = max((rank for _, _, rank in found), default=0)
-    return [(words, hashes) for words, hashes, rank in found if rank == best]
+    return found
+
+
+def best(found: list[tuple[str, list[int], int]]) -> list[str]:
+    """Texts of the highest rank there is."""
+    top = max((rank for _, _, rank in found), default=0)
+    return [words for words, _, rank in found if rank == top]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(id, url, text, n_chars) for each row of pages.
 
-    Text comes from the page's articles, else its main element, else its body, without the parts that elements or
-    attributes mark as something else, and without subtrees that recur in at least least_pages different
-    articles of the host and least_share of its articles. Pages with equal text count as one, so that copies of a page
-    are no template. Inside an article, paragraphs, headings, list items and cells stay even where they recur.
+    First go the parts that elements or attributes mark as something else, and subtrees that recur in at least
+    least_pages different articles of the host (inside an article also in least_share of its articles). Of
+    what is left the text is that of the page's articles, else its main element, else its body. Pages with equal text count
+    as one, so that copies of a page are no template. Inside an article, paragraphs, headings, list items and
+    cells stay even where they recur.
 
     Null and empty pages have an empty text. Null URLs are a host of their own. Rows that repeat an id each get a row; an empty
     table gives no rows; other columns are not read.
@@ -185,27 +197,29 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             read = [blocks(page) if page else [] for page in pdf["html"]]
             yield pd.DataFrame({
                 "row": pdf["row"], "id": pdf["id"], "url": pdf["url"].astype(object), "host": pdf["host"].astype(object),
-                "content": [xxhash.xxh64_intdigest("\n".join(t for t, _ in found)) - (1 << 63) for found in read],
-                "texts": [[t for t, _ in found] for found in read],
-                "around": [[h for _, h in found] for found in read],
+                "content": [xxhash.xxh64_intdigest("\n".join(best(found))) - (1 << 63) for found in read],
+                "texts": [[t for t, _, _ in found] for found in read],
+                "around": [[h for _, h, _ in found] for found in read],
+                "ranks": [[r for _, _, r in found] for found in read],
             })
 
     host = F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col(html_col).alias("html"))
-    schema = "row long, id long, url string, host string, content long, texts array<string>, around array<array<long>>"
+    schema = "row long, id long, url string, host string, content long, texts array<string>, around array<array<long>>, ranks array<int>"
     read = staged(rows.mapInPandas(run, schema), "page-blocks")
     inside = read.select("row", "host", "content", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
     inside = inside.withColumn("key", F.xxhash64("host", "subtree"))
-    counts = inside.groupBy("host", "key", "content").agg(F.count("*").alias("rows")).groupBy("host", "key").agg(F.count("*").alias("articles"), F.sum("rows").alias("rows"))
+    counts = inside.groupBy("host", "key", "content").agg(F.count("*").alias("rows"), F.first(F.col("subtree").bitwiseAND(1)).alias("outside"))
+    counts = counts.groupBy("host", "key").agg(F.count("*").alias("articles"), F.sum("rows").alias("rows"), F.max("outside").alias("outside"))
     hosts = read.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_articles"))
-    recurring = counts.filter(F.col("articles") >= least_pages).join(hosts, "host").filter(F.col("articles") >= least_share * F.col("host_articles"))
+    recurring = counts.filter(F.col("articles") >= least_pages).join(hosts, "host").filter((F.col("outside") == 1) | (F.col("articles") >= least_share * F.col("host_articles")))
     recurring = staged(recurring.groupBy("key").agg(F.sum("rows").alias("rows")), "templates")
     found = split_join(inside.select("row", "subtree", "key"), recurring.select("key", "rows"), "key", "rows", read.count(), F.col("row"))
     removed = staged(found.filter("rows is not null").groupBy("row").agg(F.collect_set("subtree").alias("removed")), "removed")
     joined = read.join(F.broadcast(removed) if removed.count() <= SMALL else removed, "row", "left")
-    pairs = F.arrays_zip("texts", "around")
-    kept = F.when(F.col("removed").isNull(), F.col("texts")).otherwise(
-        F.transform(F.filter(pairs, lambda b: ~F.arrays_overlap(b["around"], F.col("removed"))), lambda b: b["texts"])
-    )
+    pairs = F.arrays_zip("texts", "around", "ranks")
+    left = F.when(F.col("removed").isNull(), pairs).otherwise(F.filter(pairs, lambda b: ~F.arrays_overlap(b["around"], F.col("removed"))))
+    joined = joined.withColumn("left", left).withColumn("top", F.array_max(F.transform("left", lambda b: b["ranks"])))
+    kept = F.transform(F.filter("left", lambda b: b["ranks"] == F.col("top")), lambda b: b["texts"])
     text = F.concat_ws("\n", kept)
     return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"))
