@@ -18,10 +18,15 @@ HOT = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one.
+
+    On a cluster a machine's own folder would not do, so there the setting is required.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gneiss-"))
         folder = context.getCheckpointDir()
     return folder
@@ -38,6 +43,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Remove the files of a staged frame that nothing will read again."""
+    spark = frame.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """The name, with underscores added until the frame has no such column."""
     taken = {c.lower() for c in frame.columns}
@@ -105,7 +118,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("near"))
         small = split_join(large, down, "u", "near", max(1, large.count()), F.col("v"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        current = staged(small.filter("u <> v").distinct(), "small-star")
+        last, current = current, staged(small.filter("u <> v").distinct(), "small-star")
+        discard(last)
+        discard(large)
         after = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == tuple(after):
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -4,7 +4,7 @@ Fingerprints within `max_bits` differing bits agree in at least one of max_bits
 each distinct fingerprint goes to one bucket for each block. In a bucket the fingerprints are sorted by Gray rank
 and grouped into nodes; a node keeps the bits that all its members share and that its parent does not
 already keep. A search adds up differences from the top and drops a whole node once they exceed the limit.
-Buckets return spanning links only, so a group of n near copies costs n rows, not n * n.
+A bucket that is too full is dealt out by blocks of its other bits, again and again. Buckets return spanning links only, so a group of n near copies costs n rows, not n * n.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import HOT, components, split_join, staged, without
+from gneiss.llm.shared import components, split_join, staged, without
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles hashed at a time, so that memory does not follow a text's length.
@@ -132,44 +132,57 @@ def blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def block_keys(frame: DataFrame, spans: list[tuple[int, int]], bits: int, name: str) -> DataFrame:
-    """One row for each block, with the block's leading `bits` bits, in the column `name`."""
-    cut = [
-        F.lit(i).cast("long") * (1 << 32) + (F.shiftrightunsigned("fp", 64 - start - width).bitwiseAND((1 << width) - 1) if (width := min(bits, wide)) else F.lit(0))
-        for i, (start, wide) in enumerate(spans)
-    ]
-    return frame.withColumn(name, F.explode(F.array(*cut)))
+def dealt(frame: DataFrame, width: int, parts: int, bits: int) -> DataFrame:
+    """One row for each of `parts` blocks of the column `rest` (`width` bits): `key` of the block's leading `bits` bits below
+    the old key, and `rest` without the block (its first width // parts bits), so `width - width // parts` bits."""
+    cut = width // parts
+    out = []
+    for i, (start, wide) in enumerate(blocks(width, parts)):
+        wide = min(bits, wide)
+        own = F.shiftrightunsigned("rest", width - start - wide).bitwiseAND((1 << wide) - 1) if wide else F.lit(0).cast("long")
+        below = width - start - cut
+        low = F.col("rest").bitwiseAND((1 << below) - 1)
+        high = F.shiftleft(F.shiftrightunsigned("rest", width - start), below) if start else F.lit(0).cast("long")
+        out.append(F.struct(F.xxhash64("key", F.lit(i), own).alias("key"), high.bitwiseOR(low).alias("rest"), F.when(F.col("block") < 0, i).otherwise(F.col("block")).alias("block")))
+    return frame.withColumn("d", F.explode(F.array(*out))).select("fp", "node", "d.key", "d.rest", "d.block")
 
 
 def links(codes: DataFrame, n: int, max_bits: int, bucket: int = BUCKET, split: int = SPLIT) -> DataFrame:
     """Spanning links (a, b) between nodes of codes (fp, node) with at most max_bits differing bits.
 
-    The bucket count follows n. A bucket of over `split` codes, and over a thousandth of all, is dealt out
-    anew by blocks of its other bits (by the same argument none of its links is lost); at most
-    HOT * (max_bits + 1) buckets can be so large, so their list is broadcast.
+    The bucket count follows n. A bucket of over `split` codes is dealt out anew by blocks of its other bits, as often as
+    needed: members that agree in a block differ in at most max_bits of the rest, so the same argument holds and none of its
+    links is lost. Each time the rest shrinks by a block, so after a few rounds no more than `split` distinct codes can share a bucket.
     """
     parts = max_bits + 1
     spans = blocks(64, parts)
     bits = max(0, int(np.ceil(np.log2(max(1, n) / bucket))))
-    keyed = block_keys(codes, spans if bits else spans[:1], bits, "bucket")
-    limit = max(split, n // HOT)
-    hot = keyed.groupBy("bucket").count().filter(F.col("count") > limit).select("bucket")
-    marked = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "bucket", "left")
-    rest = [s for s in blocks(64, parts * parts)]
-    dealt = block_keys(marked.filter("hot"), rest, 64, "sub").withColumn("part", F.expr("cast(sub div 4294967296 as int)"))
-    # a sub-block inside the bucket's own block says nothing new
-    dealt = dealt.filter(F.expr(f"part div {parts} <> bucket div 4294967296")).drop("part")
-    ready = marked.filter("hot is null").withColumn("sub", F.lit(-1).cast("long")).unionByName(dealt)
+    start = codes.select("fp", "node", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("key"), F.lit(-1).alias("block"))
+    keyed = dealt(start, 64, parts, bits) if bits else start
+    width, ready = 64 - 64 // parts if bits else 64, []
+    while n > split and 1 << width > split:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > split)
+        sizes = staged(sizes, "full-buckets")
+        total = sizes.agg(F.sum("held")).first()[0]
+        if not total:
+            break
+        marked = split_join(keyed, sizes, "key", "held", total, F.col("node"))
+        ready.append(marked.filter("held is null").drop("held"))
+        # one block is left out of a round only by its own bits, so all blocks of the rest are used
+        keyed = staged(dealt(marked.filter("held is not null").drop("held"), width, parts, 64), "dealt-codes")
+        width -= width // parts
+    for part in ready:
+        keyed = keyed.unionByName(part)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         codes, nodes = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
-        start = spans[int(pdf["bucket"].iat[0]) >> 32][0]
+        start = spans[max(0, int(pdf["block"].iat[0]))][0]
         turned = (codes << np.uint64(start)) | (codes >> np.uint64(64 - start)) if start else codes
         group = GrayIndex(turned).groups(max_bits) if len(codes) > 1 else np.arange(len(codes))
         linked = group != np.arange(len(codes))
         return pd.DataFrame({"a": nodes[linked], "b": nodes[group[linked]]})
 
-    return ready.select("bucket", "sub", "fp", "node").groupBy("bucket", "sub").applyInPandas(search, "a long, b long")
+    return keyed.select("key", "block", "fp", "node").groupBy("key").applyInPandas(search, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
