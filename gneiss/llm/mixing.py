@@ -5,100 +5,124 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import count_words, fresh, staged
+from gneiss.llm.shared import SMALL, count_words, fresh, split_join, staged
 
-#: Slots of the schedule, about; blocks a source is cut into, at least; shuffle buckets of each source.
-SLOTS, LEAST_BLOCKS, BUCKETS = 1 << 18, 256, 1024
-#: The golden ratio's fraction times 2**31, made odd: k * PHI mod 2**31 visits the unit interval evenly.
-PHI = 1327217885
-ONE = 1 << 31
+#: Slots of the schedule, about; blocks a source is cut into, at least; shuffle buckets of each source; sources ranked in one sorted part.
+SLOTS, LEAST_BLOCKS, BUCKETS, PART = 1 << 18, 256, 1024, 100_000
+#: The golden ratio's fraction times 2**62, made odd: k * PHI mod 2**62 visits the unit interval evenly.
+ONE = 1 << 62
+PHI = 2850178113940765825
 
 
-def targets(sizes: list[int], weights: list[float], limit: float = 3.0) -> list[float]:
-    """Each source's share of the sum of sizes by weight, at most `limit` times its size.
+def ranked(sources: DataFrame, key: str) -> DataFrame:
+    """Sources with `rank` (from 0, in order of key) and `part`; counted in sorted parts, so no list of all keys is needed."""
+    spark = sources.sparkSession
+    n = sources.count()
+    parts = sources.repartitionByRange(max(1, -(-n // PART)), key).sortWithinPartitions(key)
+    placed = staged(parts.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "sources")
+    before, first = [], 0
+    for r in sorted(placed.groupBy("part").count().collect()):
+        before.append((r["part"], first))
+        first += r["count"]
+    offsets = spark.createDataFrame(before, "part int, first long")
+    return placed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("first") + F.col("place")).drop("first", "place")
 
-    The excess of capped sources is shared again by weight until no source is above its cap.
+
+def shares(sources: DataFrame, total: int, limit: float = 3.0) -> DataFrame:
+    """Sources (s, w) with `target`: a share of total by weight w, at most `limit` times the size s.
+
+    The excess of capped sources is shared again by weight until no source is above its cap; each round is one aggregation.
     """
-    total, capped = float(sum(sizes)), set()
+    level, capped = None, -1
     while True:
-        free = [i for i in range(len(sizes)) if i not in capped]
-        left = total - sum(limit * sizes[i] for i in capped)
-        weight = sum(weights[i] for i in free)
-        share = {i: left * weights[i] / weight for i in free} if weight else {}
-        over = {i for i, t in share.items() if t > limit * sizes[i]}
-        if not over:
-            return [limit * sizes[i] if i in capped else share[i] for i in range(len(sizes))]
-        capped |= over
+        over = F.lit(False) if level is None else F.col("w") * F.lit(level) > limit * F.col("s")
+        r = sources.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("s")).otherwise(0)).alias("s"), F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if r["n"] == capped or not r["w"]:
+            return sources.withColumn("target", F.when(over, limit * F.col("s")).otherwise(F.col("w") * F.lit(level or 0.0)))
+        capped, level = r["n"], (total - limit * (r["s"] or 0)) / r["w"]
 
 
-def schedule(spark, plan: DataFrame, slots: int) -> DataFrame:
-    """(sid, rank, slot): slot k goes to the source whose cumulative weights hold the k-th golden-ratio point.
+def schedule(spark, plan: DataFrame, slots: int, sources: int) -> DataFrame:
+    """(sid, blocks, rank, slot): slot k goes to the source whose cumulative weights hold the k-th golden-ratio point.
 
-    plan: sid, low, high (bounds of 0 to 2**31) and quota. Ranks count a source's slots in order;
+    plan: sid, low, high (bounds of 0 to ONE), quota and blocks. Ranks count a source's slots in order;
     those beyond its quota are void, and what a source lacks (a few, by the points' even spread) is appended.
-    Sources are found by an equi-join on cells of the unit interval.
+    Sources are found by an equi-join on cells of the unit interval, several for each source.
     """
-    cells = 4096
-    point = F.expr(f"pmod(id * {PHI}L, {ONE}L)")
+    cells = 1 << max(12, (4 * sources).bit_length())
+    point = F.expr(f"cast(pmod(cast(id as decimal(18, 0)) * cast({PHI} as decimal(19, 0)), cast({ONE} as decimal(19, 0))) as bigint)")
     points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.expr(f"x div {ONE // cells}"))
     spans = plan.filter("high > low").withColumn("cell", F.explode(F.expr(f"sequence(low div {ONE // cells}, (high - 1) div {ONE // cells})")))
-    drawn = points.join(F.broadcast(spans), "cell").filter("x >= low and x < high").select("sid", "quota", "slot")
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1)
-    ranked = staged(ranked.filter("rank < quota").select("sid", F.col("rank").cast("long").alias("rank"), "slot"), "slots")
-    have = ranked.groupBy("sid").agg(F.count("*").alias("n"))
-    lacking = plan.join(F.broadcast(have), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < quota")
-    extra = lacking.select("sid", F.explode(F.expr("sequence(n, quota - 1)")).alias("rank")).withColumn("slot", F.lit(slots) + F.xxhash64("sid", "rank").bitwiseAND(0xFFFF))
-    return ranked.unionByName(extra)
+    drawn = points.join(F.broadcast(spans) if sources <= SMALL else spans, "cell").filter("x >= low and x < high").select("sid", "quota", "blocks", "slot")
+    numbered = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1)
+    numbered = staged(numbered.filter("rank < quota").select("sid", "blocks", F.col("rank").cast("long").alias("rank"), "slot"), "slots")
+    have = numbered.groupBy("sid").agg(F.count("*").alias("n"))
+    lacking = plan.join(have, "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < quota")
+    extra = lacking.select("sid", "blocks", F.explode(F.expr("sequence(n, quota - 1)")).alias("rank")).withColumn("slot", F.lit(slots) + F.xxhash64("sid", "rank").bitwiseAND(0xFFFF))
+    return numbered.unionByName(extra)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", limit: float = 3.0, weights=(1, 2, 3), max_sources: int = 100_000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", limit: float = 3.0, weights=(1, 2, 3), seed: int = 7) -> DataFrame:
     """(id, size, source_size, target, taken) for each row of docs.
 
     Size is the number of words; null texts have none. Sources in order of code point, null last, weigh
-    as `weights` repeats; targets are those of `targets`. Each source's documents are shuffled by a hash of their id
+    as `weights` repeats; targets are those of `shares`. Each source's documents are shuffled by a hash of their id
     and cut into equal-token blocks; the schedule's slots walk through a source's blocks in order, again
     from the first after the last, `limit` times at most. taken is the number of a document's words in the blocks
     of all its source's slots. Wordless documents are taken 0 times; an empty table gives no rows; rows that
-    repeat an id count each. The same input gives the same mix. One row for each source passes the driver;
-    more than max_sources are refused.
+    repeat an id count each. The same input gives the same mix. There may be any number of sources: they are ranked, capped and
+    joined in Spark, and only where they are few is their table broadcast.
     """
     spark = docs.sparkSession
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("m"), source_col))
     rows = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), count_words(F.col(text_col)).alias("size"))
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_bucket", F.expr(f"pmod(_h, {BUCKETS})"))
     rows = staged(rows, "sizes")
-    found = rows.groupBy("_key").agg(F.sum("size").alias("s")).orderBy("_key").limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
     # null sorts last: "m..." keys come before the key "n"
-    sizes = [r["s"] for r in found]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], limit)
-    block = max(1.0, sum(sizes) / SLOTS)
-    counts = [min(s, max(LEAST_BLOCKS, round(s / block))) for s in sizes]
-    quota = [min(int(limit * n), round(t * n / s)) if s else 0 for s, t, n in zip(sizes, goal, counts)]
-    slots, low, plan = max(1, sum(quota)), 0, []
-    reach = [q + 8 + q // 1000 if q else 0 for q in quota]  # a little more than the quota, so that few slots need appending
-    for i, r in enumerate(found):
-        high = low + ONE * reach[i] // max(1, sum(reach))
-        plan.append((i, r["_key"], r["s"], float(goal[i]), counts[i], quota[i], low, high))
-        low = high
-    plan = spark.createDataFrame(plan, "sid int, _key string, source_size long, target double, blocks long, quota long, low long, high long")
-    slots = schedule(spark, plan.select("sid", "low", "high", "quota"), max(slots, sum(reach)))
-    blocks = F.broadcast(plan.select("sid", "blocks"))
-    uses = slots.join(blocks, "sid").groupBy("sid", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("uses"))
-
+    found = ranked(rows.groupBy("_key").agg(F.sum("size").alias("s"), F.count("*").alias("n")), "_key")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int") + 1)
+    found = found.withColumn("w", weight)
+    sums = found.agg(F.sum("s").alias("s"), F.count("*").alias("n"), F.sum("n").alias("rows")).first()
+    total, sources = sums["s"] or 0, sums["n"]
+    # 256 blocks at least, fewer only beyond millions of sources
+    least = max(16, min(LEAST_BLOCKS, (1 << 30) // max(1, sources)))
+    each = max(1.0, total / SLOTS)
+    plan = shares(found, total, limit)
+    plan = plan.withColumn("blocks", F.least("s", F.greatest(F.lit(least), F.round(F.col("s") / each).cast("long"))))
+    quota = F.least(F.floor(limit * F.col("blocks")), F.round(F.col("target") * F.col("blocks") / F.col("s")).cast("long"))
+    plan = plan.withColumn("quota", F.when(F.col("s") > 0, quota).otherwise(0))
+    # a little more than the quota, so that few slots need appending
+    plan = staged(plan.withColumn("reach", F.when(F.col("quota") > 0, F.col("quota") + 8 + F.expr("quota div 1000")).otherwise(0)), "plan")
+    before, reach = [], 0
+    for r in sorted(plan.groupBy("part").agg(F.sum("reach").alias("reach")).collect()):
+        before.append((r["part"], reach))
+        reach += r["reach"]
+    offsets = spark.createDataFrame(before, "part int, first long")
+    inside = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    plan = plan.join(F.broadcast(offsets), "part").withColumn("end", F.col("first") + F.sum("reach").over(inside))
+    bound = f"cast(cast({{}} as decimal(18, 0)) * cast({ONE} as decimal(19, 0)) div {max(1, reach)} as bigint)"
+    plan = plan.withColumn("low", F.expr(bound.format("end - reach"))).withColumn("high", F.expr(bound.format("end")))
+    plan = plan.select(F.col("rank").alias("sid"), "_key", F.col("s").alias("source_size"), "n", "target", "blocks", "quota", "low", "high")
+    slots = schedule(spark, plan.select("sid", "low", "high", "quota", "blocks"), max(1, reach), sources)
+    uses = slots.groupBy("sid", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("uses"))
+
+    named = plan.select("_key", "sid", "source_size", "target", "blocks", "n")
+    if sources <= SMALL:
+        named = rows.join(F.broadcast(named), "_key").drop("_key", "n")
+    else:
+        named = split_join(rows, named, "_key", "n", sums["rows"], F.col("_h")).drop("_key", "n")
     # places in the source's shuffled stream: sums of buckets, then running sums inside each
-    named = rows.join(F.broadcast(plan.select("_key", "sid", "source_size", "target", "blocks")), "_key").drop("_key")
     inside = Window.partitionBy("sid", "_bucket").orderBy("_h", "_id", "size")
     before = Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = named.groupBy("sid", "_bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     placed = named.withColumn("_n", F.row_number().over(inside)).withColumn("_end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(offsets, ["sid", "_bucket"]).withColumn("_start", F.col("base") + F.col("_end") - F.col("size"))
     # block b holds the words from ceil(b * source_size / blocks) on; word w lies in block w * blocks div source_size
-    first, last = "_start * blocks div source_size", "(_start + size - 1) * blocks div source_size"
+    wide = "cast({} as decimal(20, 0)) * cast({} as decimal(12, 0))"
+    first, last = (f"{wide.format(w, 'blocks')} div source_size" for w in ("_start", "_start + size - 1"))
     pieces = placed.withColumn("block", F.explode(F.expr(f"if(size = 0, array(-1L), sequence({first}, {last}))")))
-    edge = "(({b}) * source_size + blocks - 1) div blocks"
-    words = f"if(size = 0, 0L, least({edge.format(b='block + 1')}, _start + size) - greatest({edge.format(b='block')}, _start))"
+    edge = lambda b: f"(({wide.format('source_size', b)} + blocks - 1) div blocks)"
+    words = f"if(size = 0, 0L, least({edge('block + 1')}, _start + size) - greatest({edge('block')}, _start))"
     joined = pieces.withColumn("words", F.expr(words)).join(uses, ["sid", "block"], "left")
     keys = ["_id", "sid", "_bucket", "_n", "size", "source_size", "target"]
     summed = joined.groupBy(*keys).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
