@@ -8,7 +8,7 @@ lengths replace the rounded ones; small lengths go best-fit into what room is le
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -22,41 +22,52 @@ from gneiss.llm.shared import staged
 
 #: Tokens a sequence holds, groups of large lengths, and buckets in which ranks are counted.
 CAPACITY, GROUPS, BUCKETS = 2048, 64, 512
-#: Texts longer than this many characters are left to the slower of two equal encoders, which has no stack limits.
-LONG = 1_000_000
+#: Pieces of text whose ids a task keeps.
+KEPT = 300_000
+#: Characters (as in a pattern's set) of which both pattern libraries know the same classes: a test goes through all of them.
+AGREED = r"\x00-\u04ff\u1e00-\u1fff\u2000-\u2064\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
 
 
 class Encoder:
-    """Ids of the tokenizer file at `path`.
+    """Ids of the tokenizer file at `path`, without special tokens added.
 
-    `ranks`: the same vocabulary as a rank file, for a faster encoder of equal ids. Texts with a
-    special token's string, which only the tokenizer file defines, and very long ones go by the file itself.
+    `pattern` is the tokenizer's own rule for cutting a text into pieces, whose ids do not depend on each other; so each distinct
+    piece is encoded once and its ids are kept. Texts with a special token's string, and those with characters for which
+    the two pattern libraries may know different classes (outside AGREED), are encoded whole by the same tokenizer.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None):
+        import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.full = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.fast = None
-        if ranks:
-            import tiktoken
-
-            with open(ranks, "rb") as lines:
-                known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        special = [regex.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
+        self.whole = regex.compile("|".join([*special, f"[^{AGREED}]"]))
+        self.split = regex.compile(pattern).findall if pattern else None
+        self.ids: dict[str, list[int]] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or len(text) > LONG or any(s in text for s in self.special):
+        if self.split is None or self.whole.search(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        known, pieces, out = self.ids, self.split(text), []
+        new = list(set(pieces).difference(known))
+        if len(known) + len(new) > KEPT:
+            known.clear()
+            new = list(set(pieces))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            known.update(zip(part, (e.ids for e in self.full.encode_batch(part, add_special_tokens=False))))
+        for p in pieces:
+            out += known[p]
+        return np.array(out, "<u4")
 
 
 def public_encoder() -> Encoder:
     """The byte-level BPE of 50k ids among the public tokenizers."""
     import public_tokenizers
 
-    return Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
