@@ -13,6 +13,8 @@ from gneiss.llm.shared import count_words
 
 #: A turn is "### role: text</turn>\n"; texts and roles hold no "#", "<", ":" or "\" but escaped.
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
+#: Budgets of words after which a window ends in any case.
+SECTION = 64
 ESCAPES = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
 
 
@@ -30,20 +32,20 @@ def unescape(text: Column) -> Column:
 
 
 def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, window, formatted, n_context, spans): one row for each window of each conversation.
+    """(conv_id, window, formatted, n_context, spans, size): one row for each window of each conversation.
 
-    Sizes are words of the text, two more for each turn's marks. A turn's own window is the number of whole
-    strides (budget - history) in the sizes before it, so a window's own turns start within one stride and are
-    never cut; only its last turn may pass the stride. A window after the first begins with the
-    system turn (the conversation's first turn, if its role is system), then those turns of the window before that
-    start within its last `history` words; these n_context turns carry no loss. spans: (start, length) in
-    code points of each assistant text under the loss.
+    Sizes are words of the text, two more for each turn's marks. A window ends where the next whole turn would take it
+    over the budget (and at every SECTION budgets of a conversation, so that no fold runs over more turns than those
+    hold). A window after the first begins with the system turn (the conversation's first turn, if its role is system), then
+    those turns before it that start within its last `history` words; both count towards the budget and carry no loss. Where
+    they leave no room for the window's first own turn, first the history goes, then the system turn. So a window is over the budget
+    only if it is a single turn that is larger than the budget itself, which is never cut.
+    spans: (start, length) in code points of each assistant text under the loss, which covers each once.
 
     Null texts and roles are empty; rows of a conversation are ordered by turn (null first), then role and
     text, so repeated rows stay and ties do not matter. Null conversations are one conversation. An empty table
     gives no rows; other columns are not read.
     """
-    stride = max(1, budget - history)
     rows = turns.select(
         F.col(conv_col).alias("conv"),
         F.col(turn_col).alias("turn"),
@@ -53,36 +55,50 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, conv_
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("size", count_words(F.col("text")) + 2)
     rows = rows.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    rows = rows.withColumn("own", F.expr(f"before div {stride}")).withColumn("last", F.max("own").over(Window.partitionBy("conv")))
-    next_ = F.lead("own").over(Window.partitionBy("conv").orderBy("n"))
-    # the next window that has turns of its own, and the size of all before it
-    rows = rows.withColumn("next", next_)
-    later = Window.partitionBy("conv").orderBy("n").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("after", F.first(F.when(F.col("next") > F.col("own"), F.col("next")), ignorenulls=True).over(later))
-    rows = rows.withColumn("first_of_after", F.first(F.when(F.col("next") > F.col("own"), F.col("before") + F.col("size")), ignorenulls=True).over(later))
-    system = (F.col("n") == 1) & (F.col("role") == "system")
-    # windows without own turns do not exist, so a system turn goes to those that do by a join on them
-    repeated = F.when(~system & F.col("after").isNotNull() & (F.col("before") >= F.col("first_of_after") - history), F.array("own", "after")).otherwise(F.array("own"))
-    plain = rows.withColumn("window", F.explode(repeated))
-    windows = rows.filter("own > 0").select(F.col("conv").alias("conv_"), F.col("own").alias("window")).distinct()
-    again = rows.filter(system).join(windows, F.col("conv").eqNullSafe(F.col("conv_"))).drop("conv_")
-    every = plain.unionByName(again.select(*plain.columns))
+    rows = rows.withColumn("system", (F.col("n") == 1) & (F.col("role") == "system"))
+    near = Window.partitionBy("conv").orderBy("before")
+    kept = F.sum(F.when(~F.col("system"), F.col("size")).otherwise(0)).over(near.rangeBetween(-history, -1))
+    first = F.max(F.when(F.col("system"), F.col("size")).otherwise(0)).over(Window.partitionBy("conv"))
+    rows = rows.withColumn("kept", F.coalesce(kept, F.lit(0))).withColumn("rules", first)
+    # what a window that starts with this turn repeats: 2 the system turn and history, 1 the system turn, 0 nothing
+    repeats = F.when(F.col("n") == 1, 0).when(F.col("rules") + F.col("kept") + F.col("size") <= budget, 2).when(F.col("rules") + F.col("size") <= budget, 1).otherwise(0)
+    rows = rows.withColumn("repeats", repeats).withColumn("section", F.expr(f"before div {SECTION * budget}"))
+    context = F.when(F.col("repeats") > 0, F.col("rules")).otherwise(0) + F.when(F.col("repeats") == 2, F.col("kept")).otherwise(0)
+    turn = F.struct("n", "size", context.cast("long").alias("context"))
+    start = F.struct(F.lit(None).cast("long").alias("used"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(s: Column, t: Column) -> Column:
+        opens = s["used"].isNull() | (s["used"] + t["size"] > budget)
+        used = F.when(opens, t["context"] + t["size"]).otherwise(s["used"] + t["size"])
+        return F.struct(used.alias("used"), F.when(opens, F.concat(s["cuts"], F.array(t["n"]))).otherwise(s["cuts"]).alias("cuts"))
+
+    cuts = rows.groupBy("conv", "section").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    cuts = cuts.select(F.col("conv").alias("conv_"), F.explode(F.aggregate("turns", start, step, lambda s: s["cuts"])).alias("n_"))
+    rows = rows.join(cuts, rows["conv"].eqNullSafe(F.col("conv_")) & (F.col("n") == F.col("n_")), "left").withColumn("opens", F.col("n_").isNotNull()).drop("conv_", "n_")
+    rows = rows.withColumn("own", F.count_if("opens").over(near.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    again = F.collect_list(F.when(F.col("opens") & (F.col("repeats") == 2), F.col("own"))).over(near.rangeBetween(1, history))
+    rows = rows.withColumn("again", again)
+    plain = rows.withColumn("window", F.explode(F.concat(F.array("own"), F.when(F.col("system"), F.array().cast("array<bigint>")).otherwise(F.col("again"))))).drop("again")
+    windows = rows.filter("opens and repeats > 0").select(F.col("conv").alias("conv_"), F.col("own").alias("window"))
+    ruled = rows.filter("system").join(windows, F.col("conv").eqNullSafe(F.col("conv_"))).drop("conv_")
+    every = plain.unionByName(ruled.select(*plain.columns))
 
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(COLON))
     body = escape(F.col("text"))
-    every = every.select("conv", "window", "n", "own", "role", head.alias("head"), body.alias("body"))
+    every = every.select("conv", "window", "n", "own", "role", "size", head.alias("head"), body.alias("body"))
     in_window = Window.partitionBy("conv", "window").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     width = F.length("head") + F.length("body") + len(CLOSE)
     every = every.withColumn("start", F.coalesce(F.sum(width).over(in_window), F.lit(0)) + F.length("head"))
     every = every.withColumn("loss", (F.col("role") == "assistant") & (F.col("own") == F.col("window")))
     turn = F.struct("n", F.concat("head", "body", F.lit(CLOSE)).alias("line"), F.col("start").cast("int").alias("start"), F.length("body").alias("length"), "loss")
-    grouped = every.groupBy("conv", "window").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.count_if(F.col("own") < F.col("window")).alias("n_context"))
+    grouped = every.groupBy("conv", "window").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.count_if(F.col("own") < F.col("window")).alias("n_context"), F.sum("size").alias("size"))
     return grouped.select(
         F.col("conv").alias(conv_col),
         "window",
         F.concat_ws("", F.transform("turns", lambda t: t["line"])).alias("formatted"),
         F.col("n_context").cast("int").alias("n_context"),
         F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("spans"),
+        "size",
     )
 
 

@@ -76,20 +76,26 @@ def oracle_sql() -> dict[str, str]:
 
 ORACLES = {
     "op6_chat_windows": r"""
-        WITH t AS (
+        WITH RECURSIVE t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
             UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
         e AS (SELECT *, replace(replace(replace(replace(text, '\', '\s'), '#', '\h'), '<', '\l'), ':', '\c') AS x,
               length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 AS size,
               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM t),
-        s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) - size AS before, 4 + length(role) + 2 + length(x) + 8 AS width FROM e),
-        w AS (SELECT *, before // 768 AS own, max(CASE WHEN n = 1 AND role = 'system' THEN width ELSE 0 END) OVER (PARTITION BY conv_id) AS system_width FROM s),
-        v AS (SELECT conv_id, own, min(before) AS at, any_value(system_width) AS system_width,
-              lag(own) OVER (PARTITION BY conv_id ORDER BY own) AS previous FROM w GROUP BY conv_id, own),
-        h AS (SELECT v.conv_id, sum(CASE WHEN w.n = 1 AND w.role = 'system' THEN 0 ELSE w.width END) AS chars
-              FROM v JOIN w ON w.conv_id = v.conv_id AND w.own = v.previous AND w.before >= v.at - 256 GROUP BY v.conv_id),
-        r AS (SELECT conv_id, sum(system_width) AS chars FROM v WHERE own > 0 GROUP BY conv_id),
+        s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) - size AS before, 4 + length(role) + 2 + length(x) + 8 AS width, n = 1 AND role = 'system' AS is_system FROM e),
+        k AS (SELECT *, coalesce(sum(CASE WHEN is_system THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY before RANGE BETWEEN 256 PRECEDING AND 1 PRECEDING), 0) AS kept,
+              max(CASE WHEN is_system THEN size ELSE 0 END) OVER (PARTITION BY conv_id) AS rules, before // 65536 AS section FROM s),
+        c AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN rules + kept + size <= 1024 THEN 2 WHEN rules + size <= 1024 THEN 1 ELSE 0 END AS repeats FROM k),
+        g AS (SELECT conv_id, n, size AS used, 0 AS own, true AS opens, section FROM c WHERE n = 1
+              UNION ALL SELECT c.conv_id, c.n,
+                  CASE WHEN c.section <> g.section OR g.used + c.size > 1024 THEN c.size + CASE WHEN repeats > 0 THEN rules ELSE 0 END + CASE WHEN repeats = 2 THEN kept ELSE 0 END ELSE g.used + c.size END,
+                  g.own + CASE WHEN c.section <> g.section OR g.used + c.size > 1024 THEN 1 ELSE 0 END, c.section <> g.section OR g.used + c.size > 1024, c.section
+              FROM g JOIN c ON c.conv_id = g.conv_id AND c.n = g.n + 1),
+        w AS (SELECT c.*, g.own, g.opens FROM c JOIN g ON c.conv_id = g.conv_id AND c.n = g.n),
+        v AS (SELECT conv_id, own, n, before, repeats FROM w WHERE opens AND repeats > 0),
+        h AS (SELECT v.conv_id, sum(w.width) AS chars FROM v JOIN w ON w.conv_id = v.conv_id AND w.n < v.n AND w.before >= v.before - 256 AND NOT w.is_system WHERE v.repeats = 2 GROUP BY v.conv_id),
+        r AS (SELECT v.conv_id, sum(w.width) AS chars FROM v JOIN w ON w.conv_id = v.conv_id AND w.is_system GROUP BY v.conv_id),
         d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS loss_chars,
               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '')) AS loss_sha256, sum(width) AS chars FROM w GROUP BY conv_id)
