@@ -115,10 +115,10 @@ def test_own_counts_and_contexts_by_brute_force():
     rng = random.Random(3)
     texts = [[rng.choice([b"a", b"b", b"x", b"y"]) for _ in range(20)] + [b""] for _ in range(3)]
     c = model.chunk(texts)
-    zeros, ones = model.seen_before(c["text"][c["token"]] * 1000 + c["node"], c["bit"])
+    pairs = model.seen_before(c["text"][c["token"]] * 1000 + c["node"], c["bit"])
     seen = Counter()
     for i, (t, n, b) in enumerate(zip(c["text"][c["token"]], c["node"], c["bit"])):
-        assert (zeros[i], ones[i]) == (seen[t, n, 0], seen[t, n, 1])
+        assert pairs[i] == seen[t, n, 0] + 256 * seen[t, n, 1]
         seen[t, n, b] += 1
     # equal slots of the second context: equal node and equal two words before
     names = [w for t in texts for w in t]
@@ -159,8 +159,8 @@ def test_word_order_counts(spark):
 
 
 def links_of(rows, threshold=0.9):
-    good = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    return [(a, b) for a in good for b in good if a < b and good[a] @ good[b] / (np.linalg.norm(good[a]) * np.linalg.norm(good[b])) >= threshold]
+    good = {i: np.array(v, float) / max(map(abs, v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    return [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] / (np.linalg.norm(good[a]) * np.linalg.norm(good[b])) >= threshold]
 
 
 def test_embedding_groups_match_brute_force(spark):
@@ -191,6 +191,23 @@ def test_embedding_groups_match_brute_force(spark):
     assert embedding_groups(table.filter("vec_id between 1000 and 1003")).filter("kept and n_links = 0").count() == 4
 
 
+def test_embedding_groups_of_several_lengths(spark, monkeypatch):
+    """Vectors of rarer lengths and of huge and tiny components link within their length."""
+    from gneiss.llm import embeddings
+
+    rng = np.random.default_rng(9)
+    rows = [(i, list(map(float, rng.normal(size=8)))) for i in range(40)]
+    rows += [(100 + k, [3e200 * x for x in (1.0, 2.0, 3.0 + k / 50)]) for k in range(3)] + [(200 + k, [1e-200, 2e-200 * (k + 1)]) for k in range(3)]
+    rows += [(300 + k, [1.0 + k % 2]) for k in range(3)] + [(400 + k, [1.0] * 12 + [float(k % 4)]) for k in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    n = Counter(x for p in links_of(rows) for x in p)
+    assert n[100] == 2 and n[300] == 2 and n[400] > 5
+    for lengths in (16, 1):
+        monkeypatch.setattr(embeddings, "LENGTHS", lengths)
+        got = {r["vec_id"]: r["n_links"] for r in embedding_groups(table, tile=8, sample_rows=50).collect()}
+        assert got == {i: n[i] for i, _ in rows}
+
+
 def test_compare_stops_early_without_loss():
     rng = np.random.default_rng(1)
     x = unit(np.repeat(rng.normal(size=(150, 64)), 2, axis=0) + rng.normal(size=(300, 64)) * 0.02)
@@ -218,16 +235,35 @@ def slow_targets(sizes, weights):
     return target
 
 
-def test_targets():
+def test_targets(spark):
     rng = random.Random(8)
-    for _ in range(50):
+    for _ in range(6):
         sizes = [rng.choice([0, 1, 5, 1000, rng.randrange(10**6)]) for _ in range(rng.randrange(1, 9))]
-        weights = [1 + i % 3 for i in range(len(sizes))]
-        got = mixing.targets(sizes, weights)
+        weights = [1.0 + i % 3 for i in range(len(sizes))]
+        frame = mixing.shares(spark.createDataFrame([(i, s, w) for i, (s, w) in enumerate(zip(sizes, weights))], "i int, s long, w double"), sum(sizes))
+        got = [r["target"] for r in frame.orderBy("i").collect()]
         assert all(abs(a - b) <= 1e-6 * max(1, b) for a, b in zip(got, slow_targets(sizes, weights)))
         assert abs(sum(got) - sum(sizes)) <= 1e-6 * max(1, sum(sizes))
 
 
+def test_many_sources_are_ranked_and_mixed_alike(spark, monkeypatch):
+    """Sorted parts and joins of many sources give what one part and broadcasts give."""
+    rng = random.Random(17)
+    rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 40))), "s%d" % rng.randrange(90)) for i in range(600)] + [(700, "x y", None), (701, "z", "S")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "PART", 7)
+    monkeypatch.setattr(mixing, "SMALL", 3)
+    got = sorted(map(tuple, mixing.mix(docs).collect()))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-6 for g, w in zip(got, want))
+    by = {}
+    for i, _, s in rows:
+        by.setdefault(s, []).append(i)
+    taken = {g[0]: g for g in got}
+    for ids in by.values():
+        assert abs(sum(taken[i][4] for i in ids) - taken[ids[0]][3]) <= max(2, 0.01 * taken[ids[0]][3])
+
+
 def test_mix_reaches_targets_and_repeats(spark):
     rng = random.Random(9)
     rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(1, 80))), rng.choice(["a", "a", "a", "B", "é", None])) for i in range(400)]
@@ -304,10 +340,17 @@ def test_pack_cuts_and_hashes_ids(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_both_encoders_agree(spark):
+def test_pieces_have_the_ids_of_whole_texts(spark):
+    """Over all of sf0.1, over every character whose class the pattern is trusted with, and over special and strange texts."""
     encode = packing.public_encoder()
-    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect():
-        assert list(encode(r["text"] or "")) == encode.full.encode(r["text"] or "", add_special_tokens=False).ids
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    agreed = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not encode.whole.search(chr(c))]
+    assert len(agreed) > 30_000
+    texts += ["".join(f"a{c}1{c}! {c}\n{c}" for c in agreed[at : at + 200]) for at in range(0, len(agreed), 200)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "\u0530\u20c0 x", " " * 5000 + "x", "x" * 20_000, "\U0001f600 ok", ""]
+    whole = encode.full.encode_batch(texts, add_special_tokens=False)
+    assert all(encode(t).tolist() == w.ids for t, w in zip(texts, whole))
+    assert sum(encode.whole.search(t) is not None for t in texts[:10_000]) < 500
 
 
 # op6
@@ -322,6 +365,7 @@ def test_chat_windows_round_trip(spark):
             role = "system" if turn == 0 and conv % 3 == 0 else rng.choice(["user", "assistant", None, "a: b"])
             rows.append((conv, turn, role, "".join(rng.choice(marks) + " " * rng.randrange(2) for _ in range(rng.randrange(30)))))
     rows += [(50, None, "assistant", None), (50, 0, "user", "x"), (50, 0, "user", "x"), (None, 1, "assistant", "lost"), (51, 0, "system", "rules " * 40), (51, 1, "assistant", "y " * 300)]
+    rows += [(52, 0, "system", "rules " * 8)] + [(52, k, "user", "y " * (k % 9)) for k in range(1, 40)]
     table = extra(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     windows = chat_windows(table, budget=40, history=12)
     assert windows.filter("n_context > 0").count() > 10
@@ -333,11 +377,50 @@ def test_chat_windows_round_trip(spark):
         want.append((conv, len(turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
     got = read_back(windows).collect()
     assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
-    for r in windows.filter("conv_id = 51").collect():
+    for r in windows.filter("conv_id = 52").collect():
         assert r["formatted"].startswith("### system: rules")
     assert read_back(chat_windows(table.limit(0))).count() == 0
 
 
+def slow_windows(sizes, system, budget, history, section):
+    """[(context turns, own turns)] by walking through the turns."""
+    out, used, before = [], None, 0
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    for i, size in enumerate(sizes):
+        if used is None or used + size > budget or starts[i] // section != before:
+            rules = [0] if system and i else []
+            kept = [j for j in range(len(rules), i) if starts[j] >= starts[i] - history and not (system and j == 0)]
+            for context in (rules + kept, rules, []):
+                if not i or sum(sizes[j] for j in context) + size <= budget:
+                    break
+            context = context if i else []
+            out.append((context, []))
+            used = sum(sizes[j] for j in context)
+        out[-1][1].append(i)
+        used, before = used + size, starts[i] // section
+    return out
+
+
+def test_chat_windows_keep_the_budget(spark, monkeypatch):
+    """Windows against a plain walk, with turns, system turns and histories larger than the budget."""
+    from gneiss.llm import chat
+
+    monkeypatch.setattr(chat, "SECTION", 4)
+    rng = random.Random(21)
+    rows, talks = [], {}
+    for conv in range(60):
+        system = conv % 2 == 0
+        words = [rng.choice([0, 1, 3, 9, 20, 37, 38, 39, 120]) if rng.random() < 0.8 else rng.randrange(60) for _ in range(rng.randrange(1, 40))]
+        talks[conv] = system, [w + 2 for w in words]
+        rows += [(conv, k, "system" if system and k == 0 else rng.choice(["user", "assistant"]), " ".join([f"t{k}"] * w)) for k, w in enumerate(words)]
+    got = chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=40, history=15).collect()
+    for conv, (system, sizes) in talks.items():
+        mine = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["window"])
+        want = slow_windows(sizes, system, 40, 15, 160)
+        assert [(r["n_context"], r["size"], r["formatted"].count("</turn>")) for r in mine] == [(len(c), sum(sizes[j] for j in c + o), len(c + o)) for c, o in want]
+        assert all(r["size"] <= 40 or r["formatted"].count("</turn>") == 1 for r in mine)
+
+
 def test_chat_runs_without_python(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     plan = read_back(chat_windows(table))._jdf.queryExecution().toString()
