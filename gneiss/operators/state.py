@@ -41,42 +41,52 @@ def compare_and_set(rows: DataFrame, column: str, condition: Column, value: Colu
     return rows.withColumn("changed", hit).withColumn(column, F.when(hit, value).otherwise(F.col(column)))
 
 
-def lease_grants(rows: DataFrame, key: str, micros: str, lease: int) -> DataFrame:
-    """(key, micros) of requests that get the key's exclusive lease: the first, then each first one after its end.
+def ordered_fold(rows: DataFrame, key: list[str], order: list[str], step, start, out: str) -> DataFrame:
+    """Rows with one more column: a sequential fold over each key's rows in order, with constant memory.
 
-    After a pause of a lease or more the next request always gets it, so the fold runs over stretches
-    without such pauses, never over a whole key.
+    Rows are dealt out by key and sorted within partitions, so a key of any size streams through one task and only the fold's
+    state is held. step(state, row) gives (state, value); rows come as tuples of the frame's columns.
     """
-    w = Window.partitionBy(key).orderBy(micros)
-    opens = F.coalesce(F.col(micros) - F.lag(micros).over(w) >= lease, F.lit(True))
-    stretched = rows.select(key, micros).withColumn("_stretch", F.sum(opens.cast("long")).over(w))
-    times = stretched.groupBy(key, "_stretch").agg(F.array_sort(F.collect_list(micros)).alias("_times"))
-    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.array().cast("array<bigint>").alias("granted"))
-    fold = F.aggregate(
-        "_times",
-        start,
-        lambda s, t: F.when(t >= s["last"] + lease, F.struct(t.alias("last"), F.concat(s["granted"], F.array(t)).alias("granted"))).otherwise(s),
-        lambda s: s["granted"],
-    )
-    return times.select(key, F.explode(fold).alias(micros))
+    columns, places = rows.columns, [rows.columns.index(c) for c in key]
+
+    def run(batches):
+        at, state = None, start
+        for batch in batches:
+            values = []
+            for row in zip(*(batch[c].to_numpy() for c in columns)):
+                mine = tuple(row[p] for p in places)
+                if mine != at:
+                    at, state = mine, start
+                state, value = step(state, row)
+                values.append(value)
+            yield batch.assign(**{out: values})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, f"{schema}, `{out}` long")
+
+
+def lease_grants(rows: DataFrame, key: str, micros: str, lease: int) -> DataFrame:
+    """(key, micros) of requests that get the key's exclusive lease: the first, then each first one after its end."""
+
+    def step(last: int, row: tuple) -> tuple[int, int]:
+        granted = row[1] >= last + lease
+        return (row[1] if granted else last), int(granted)
+
+    folded = ordered_fold(rows.select(key, micros), [key], [micros], step, -(1 << 62), "_granted")
+    return folded.filter("_granted = 1").drop("_granted")
 
 
 def pack_in_order(rows: DataFrame, key: str, order: list[str], size: str, most_items: int, most_size: int) -> DataFrame:
     """Rows with `chunk`: consecutive rows of a key fill a chunk until an item more would pass either limit.
 
-    A row over the size limit is a chunk of its own. The order must be total. The fold is sequential by
-    nature and runs on (order, size) pairs only.
+    A row over the size limit is a chunk of its own. The order must be total.
     """
-    pair = F.struct(*order, F.col(size).cast("long").alias("_size"))
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("_rows"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("items"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("chunks"))
-
-    def step(s: Column, r: Column) -> Column:
-        full = (s["items"] > 0) & ((s["items"] + 1 > most_items) | (s["bytes"] + r["_size"] > most_size))
-        chunk = F.when(full, s["chunk"] + 1).otherwise(s["chunk"])
-        items, size_ = F.when(full, 1).otherwise(s["items"] + 1), F.when(full, r["_size"]).otherwise(s["bytes"] + r["_size"])
-        return F.struct(chunk.alias("chunk"), items.alias("items"), size_.alias("bytes"), F.concat(s["chunks"], F.array(chunk)).alias("chunks"))
-
-    zipped = F.arrays_zip(F.col("_rows"), F.aggregate("_rows", start, step, lambda s: s["chunks"]).alias("_chunks"))
-    flat = lists.select(key, F.explode(zipped).alias("_z"))
-    return flat.select(key, *[F.col(f"_z._rows.{c}").alias(c) for c in order], F.col("_z._rows._size").alias(size), F.col("_z").getField("_chunks").alias("chunk"))
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, int]:
+        chunk, items, total = state
+        if items and (items + 1 > most_items or total + row[-1] > most_size):
+            chunk, items, total = chunk + 1, 0, 0
+        return (chunk, items + 1, total + row[-1]), chunk
+
+    slim = rows.select(key, *order, F.col(size).cast("long").alias(size))
+    return ordered_fold(slim, [key], order, step, (0, 0, 0), "chunk").withColumn("chunk", F.col("chunk").cast("int"))

@@ -13,7 +13,12 @@ from gneiss.streaming.lifecycle import run_available
 
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final states of all uploads from a stream of events."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="gneiss-")
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="gneiss-")
     return run_available(spark, f"{sf_dir}/events.parquet", f"{shared}/gneiss-streams/{uuid.uuid4().hex}")
 
 

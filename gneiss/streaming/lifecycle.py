@@ -31,8 +31,11 @@ def status(done: int, failed: int, last: int) -> str:
     return "withdrawn" if failed > done else "committed" if last == done else "checkpointed"
 
 
-def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One upload's state after a batch: only maxima are kept, so order and repeats within a batch do not matter."""
+def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = 0) -> Iterator[pd.DataFrame]:
+    """One upload's state after a batch: only maxima are kept, so order and repeats within a batch do not matter.
+
+    idle_ms: time without events after which the timer ends the upload; one that never was committed is then expired.
+    """
     if state.hasTimedOut:
         done, failed, last, n = state.get
         state.remove()
@@ -45,12 +48,22 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         failed = max(failed, int(at[kind == "error"].max()) if (kind == "error").any() else -1)
         last, n = max(last, int(at.max())), n + len(pdf)
     state.update((done, failed, last, n))
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame({"user_id": [key[0]], "status": [status(done, failed, last)], "updated_us": [last], "events": [n]})
 
 
-def lifecycle(events: DataFrame) -> DataFrame:
-    """Updates (user_id, status, updated_us, events) of a stream (user_id, event_type, at_us)."""
-    return events.groupBy("user_id").applyInPandasWithState(advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def lifecycle(events: DataFrame, idle_ms: int = 0) -> DataFrame:
+    """Updates (user_id, status, updated_us, events) of a stream (user_id, event_type, at_us).
+
+    With idle_ms a processing-time timer for each upload ends it after so long without events; without, states stay.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return advance(key, batches, state, idle_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("user_id").applyInPandasWithState(run, OUT, STATE, "update", timeout)
 
 
 def run_available(spark: SparkSession, path: str, folder: str, files_per_trigger: int = 1) -> DataFrame:

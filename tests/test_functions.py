@@ -102,6 +102,7 @@ def test_gates_decide_in_order(spark):
     ]
     rows = [tuple((dict(zip(names, fine)) | c)[n] for n in names) for c, _ in changes]
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {GATED}")
+    frame = frame.withColumn("acquired_diffusion", F.col("diffusion"))
     got = [r[0] for r in frame.orderBy("i").select(rules.classify_series(F.col("functional")).getField("kind")).collect()]
     assert got == [k for _, k in changes]
 
@@ -151,3 +152,33 @@ def test_sealed_values_belong_to_their_row(spark):
     sealed = rows.withColumn("s", secrets.seal(key, F.col("x"), nonce, F.col("row")))
     got = sealed.orderBy("i").select(secrets.unseal(key, F.col("s"), F.col("row")), secrets.unseal(key, F.col("s"), F.lit("9")), secrets.unseal(F.lit(b"x" * 16), F.col("s"), F.col("row"))).collect()
     assert [tuple(r) for r in got] == [("a@b.org", None, None), ("", None, None)]
+
+
+class FakeState:
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_timer_ends_idle_uploads():
+    import pandas as pd
+
+    from gneiss.streaming.lifecycle import advance
+
+    events = lambda *kinds: iter([pd.DataFrame({"event_type": list(kinds), "at_us": range(10, 10 + len(kinds))})])
+    for kinds, before, after in ((("view", "click"), "uploading", "expired"), (("view", "purchase"), "committed", "committed"), (("purchase", "error"), "withdrawn", "withdrawn")):
+        state = FakeState()
+        assert next(advance((7,), events(*kinds), state, 5000))["status"].iat[0] == before and state.timeout == 5000
+        state.hasTimedOut = True
+        assert next(advance((7,), iter([]), state, 5000))["status"].iat[0] == after and state.value is None

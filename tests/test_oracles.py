@@ -15,6 +15,7 @@ import gneiss.plans.elements
 import gneiss.plans.imaging
 import gneiss.plans.ledger
 import gneiss.plans.series
+import gneiss.plans.validators
 import gneiss.plans.streams  # noqa: F401
 from gneiss.plans.registry import QUERIES, SQL
 

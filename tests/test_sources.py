@@ -51,6 +51,23 @@ def test_elements_of_nested_files(spark, tmp_path):
     assert part10.inventory(spark, str(tmp_path)).count() == 3
 
 
+def test_both_byte_orders_blocks_and_pixel_spans(spark, tmp_path):
+    big = lambda grp, elem, vr, raw: struct.pack(">HH2sH", grp, elem, vr.encode(), len(raw)) + raw
+    pixels = struct.pack(">HH2sHI", 0x7FE0, 0x10, b"OW", 0, 4) + b"abcd"
+    data = header(big(8, 0x60, "CS", b"MR"), big(0x28, 0x10, "US", struct.pack(">H", 64)), pixels, syntax="1.2.840.10008.1.2.2 ")
+    found = list(part10.elements(data))
+    assert [(e[2], e[3], e[5]) for e in found[1:]] == [(8, 0x60, ["MR"]), (0x28, 0x10, ["64"])]
+    items = struct.pack(">HH2sHI", 8, 0x1140, b"SQ", 0, 18) + struct.pack(">HHI", 0xFFFE, 0xE000, 10) + big(0x28, 0x10, "US", struct.pack(">H", 7))
+    assert [e[5] for e in part10.elements(header(items, syntax="1.2.840.10008.1.2.2 "))][-1] == ["7"]
+    block_ = bytes(range(256)) * 64
+    small = header(element(0x29, 0x1010, "OB", block_), element(0x7FE0, 0x10, "OW", b"pixels"))
+    assert list(part10.elements(small))[-1][5] == [block_.hex()]
+    (tmp_path / "big.dcm").write_bytes(data)
+    (tmp_path / "small.dcm").write_bytes(small)
+    got = {r["path"].rpartition("/")[2]: (r["length"], r["sha256"]) for r in part10.pixel_spans(spark, str(tmp_path)).collect()}
+    assert got == {"big.dcm": (4, hashlib.sha256(b"abcd").hexdigest()), "small.dcm": (6, hashlib.sha256(b"pixels").hexdigest())}
+
+
 def block(tags):
     out = b"SV10" + b"\4\3\2\1" + struct.pack("<II", len(tags), 77)
     for name, values in tags.items():
