@@ -107,7 +107,7 @@ def test_codes_and_mixed_bits_are_probabilities():
     text = [[b"c", b"dd", b"a", b""]]
     model.add_counts(table, text)
     model.table = table.reshape(-1, 2).astype(np.uint8)
-    assert not model.inputs(model.chunk(text), np.zeros(1, bool))[0][:, 2].any() and model.inputs(model.chunk(text), np.ones(1, bool))[0][:, 2].all()
+    assert not model.inputs(model.chunk(text), np.zeros(1, bool))[0][2].any() and model.inputs(model.chunk(text), np.ones(1, bool))[0][2].all()
 
 
 def test_own_counts_and_contexts_by_brute_force():
@@ -115,7 +115,12 @@ def test_own_counts_and_contexts_by_brute_force():
     rng = random.Random(3)
     texts = [[rng.choice([b"a", b"b", b"x", b"y"]) for _ in range(20)] + [b""] for _ in range(3)]
     c = model.chunk(texts)
-    pairs = model.seen_before(c["text"][c["token"]] * 1000 + c["node"], c["bit"])
+    pairs = model.seen_before(c["text"][c["token"]], [c["node"].astype(np.uint16)], c["bit"])
+    one = (c["one"] % np.uint64(5)).astype(np.uint16)[c["token"]]
+    both, held = model.seen_before(c["text"][c["token"]], [c["node"].astype(np.uint16), one], c["bit"]), Counter()
+    for i, k in enumerate(zip(c["text"][c["token"]], c["node"], one)):
+        assert both[i] == held[k, 0] + 256 * held[k, 1]
+        held[k, c["bit"][i]] += 1
     seen = Counter()
     for i, (t, n, b) in enumerate(zip(c["text"][c["token"]], c["node"], c["bit"])):
         assert pairs[i] == seen[t, n, 0] + 256 * seen[t, n, 1]
