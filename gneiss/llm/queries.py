@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.llm.alignment import public_alignment
 from gneiss.llm.chat import chat_windows, read_back
 from gneiss.llm.embeddings import embedding_groups
 from gneiss.llm.exact_dedup import exact_dedup
@@ -67,6 +68,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return public_alignment(_table(spark, sf_dir, "documents"))
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(_table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_simhash_groups, op2_lm_scores, op3_embedding_groups, op4_source_mix, op5_best_fit_packing, op6_chat_windows, op7_main_text,
-        op8_exact_dedup, op9_toxicity, op10_licence_scan, op13_word_runs,
+        op8_exact_dedup, op9_toxicity, op10_licence_scan, op11_tokenizer_alignment, op13_word_runs,
     )}
 
 
