@@ -13,19 +13,21 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import HOT, discard, split_join, staged
+from gneiss.llm.shared import HOT, split_join, staged
 
 #: Segments of the dictionary that every task holds, and the characters each has at most.
 COMMON, SHORT = 1 << 18, 24
 #: Distinct segments a task counts, and pairs it gathers, before it hands them on.
-HELD, GATHERED = 200_000, 2_000_000
+HELD, GATHERED = 500_000, 2_000_000
 #: White space before which a text may be cut, and all that patterns of tokenizers may take as white space.
 CUTS = " \t\n\x0b\x0c\r"
 SPACES = "\t-\r\x1c- \x85\xa0 ᠎ -     　"
@@ -53,8 +55,14 @@ class Aligner:
         pieces = {i: self.b.id_to_piece(i) for i in range(self.b.get_piece_size())}
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces.items()}
         self.space = self.b.piece_to_id("▁")
-        self.cuts = cuts([*self.a_bytes.values(), *self.b_bytes.values()])
-        self.pattern = segment_pattern(self.cuts)
+
+    @cached_property
+    def cuts(self) -> str:
+        return cuts([*self.a_bytes.values(), *self.b_bytes.values()])
+
+    @property
+    def pattern(self) -> str:
+        return segment_pattern(self.cuts)
 
     def align(self, segments: list[str]) -> list[str | None]:
         """Groups `a1,a2|b1;a3|b2` of each segment; None where the tokens' bytes are not the segment's."""
@@ -72,6 +80,12 @@ class Aligner:
         return out
 
 
+@lru_cache(maxsize=1)
+def loaded(a_path: str, b_path: str) -> Aligner:
+    """The tokenizers, loaded once in a process."""
+    return Aligner(a_path, b_path)
+
+
 def cuts(tokens: Iterable[bytes]) -> str:
     """The white space of CUTS that no token holds after a character outside SPACES, nor, but for spaces, after a space."""
     space, spanned = re.compile(f"[{SPACES}]").match, set()
@@ -135,6 +149,18 @@ class Dictionary:
         return self.pairs[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(places) else self.pairs[:0]
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Within, each job's shuffle files go when it ends: what is needed later has been written as a table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def flat(frame: pa.RecordBatch, column: str) -> list:
     return frame.column(column).to_pylist()
 
@@ -163,25 +189,30 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     text and digest, and they count for no pair. Rows that repeat an id, null ids included, are documents of their own. Other columns are
     not read. A text without white space is one segment.
     """
+    with shuffles_end(docs.sparkSession):
+        return _align_documents(docs, a_path, b_path, id_col, text_col, common, keep_groups)
+
+
+def _align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, common: int, keep_groups: bool) -> DataFrame:
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
-    pattern = Aligner(a_path, b_path).pattern
+    pattern = loaded(a_path, b_path).pattern
     rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "alignment-rows")
     texts = rows.filter("text <> ''").select("row", "text")
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, find = pa.schema([("segment", pa.string()), ("n", pa.int64())]), re.compile(pattern).findall
+        seen: Counter = Counter()
         for frame in frames:
-            seen: Counter = Counter()
             for text in flat(frame, "text"):
                 seen.update(set(find(f" {text}")))
                 if len(seen) > HELD:
                     yield batch(schema, list(seen), list(seen.values()))
                     seen.clear()
-            yield batch(schema, list(seen), list(seen.values()))
+        yield batch(schema, list(seen), list(seen.values()))
 
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("sid", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("groups", pa.string())])
-        aligner = Aligner(a_path, b_path)
+        aligner = loaded(a_path, b_path)
         for frame in frames:
             for at in range(0, frame.num_rows, 4096):
                 part = frame.slice(at, 4096)
@@ -198,23 +229,24 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     rest = aligned.join(F.broadcast(chosen_sids), "sid", "left_anti")
 
     def rare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, find = pa.schema([("row", pa.int64()), ("segment", pa.string()), ("times", pa.int64())]), re.compile(pattern).findall
+        schema, find = pa.schema([("row", pa.int64()), ("nth", pa.int32()), ("segment", pa.string()), ("times", pa.int32())]), re.compile(pattern).findall
         place = held.value.place
         for frame in frames:
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for row, text in zip(flat(frame, "row"), flat(frame, "text")):
                 found = Counter(s for s in find(f" {text}") if s not in place)
                 out[0].extend([row] * len(found))
-                out[1].extend(found)
-                out[2].extend(found.values())
+                out[1].extend(range(len(found)))
+                out[2].extend(found)
+                out[3].extend(found.values())
                 if len(out[0]) > HELD:
                     yield batch(schema, *out)
-                    out = ([], [], [])
+                    out = ([], [], [], [])
             yield batch(schema, *out)
 
     total = rest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rarely = salted_join(texts.mapInArrow(rare, "row long, segment string, times long"), rest, "segment", "n", total, F.col("row"))
-    rarely = staged(rarely.select("row", "sid", "n", "times", "segment", "groups"), "alignment-rare")
+    rarely = salted_join(texts.mapInArrow(rare, "row long, nth int, segment string, times int"), rest, "segment", "n", total, F.col("row"))
+    rarely = staged(rarely.select("row", "nth", "sid", "times", "groups"), "alignment-rare")
 
     def compose(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "digest", "groups", "pairs", "docs"]
@@ -230,20 +262,21 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
 
             for row, id_, text, extra in zip(*(flat(frame, c) for c in ("row", "id", "text", "rare"))):
                 segments = find(f" {text}") if text else []
-                more = {x["segment"]: x["groups"] for x in extra or ()}
                 places = list(map(known.place.get, segments))
+                # segments outside the dictionary, in the order in which rare() numbered them
+                often = Counter(s for p, s in zip(places, segments) if p is None)
+                given = {x["nth"]: x["groups"] for x in extra or ()}
+                more = {s: given[nth] for nth, s in enumerate(often)}
                 used, times = np.unique(np.array([p for p in places if p is not None], np.int64), return_counts=True)
                 if not segments or known.bad[used].any() or None in more.values():
                     out.append((row, id_, 0, 0, 0, 0, "", "", [], []))
                     continue
                 whole = ";".join([known.groups[p] if p is not None else more[s] for p, s in zip(places, segments)])
                 sizes, pairs = known.sizes[used].T @ times, [known.pairs_of(used)]
-                if more:
-                    often = Counter(s for p, s in zip(places, segments) if p is None)
-                    for s, g in more.items():
-                        a, b, n, links = measure(g)
-                        sizes = sizes + often[s] * np.array([a, b, n, sum(links.values())])
-                        pairs.append(np.fromiter(links, np.int64, len(links)))
+                for s, g in more.items():
+                    a, b, n, links = measure(g)
+                    sizes = sizes + often[s] * np.array([a, b, n, sum(links.values())])
+                    pairs.append(np.fromiter(links, np.int64, len(links)))
                 gathered.append(np.unique(np.concatenate(pairs)))
                 out.append((row, id_, *map(int, sizes), hashlib.sha256(whole.encode()).hexdigest(), whole if keep_groups else None, [], []))
                 size += len(gathered[-1])
@@ -252,7 +285,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
                     out, gathered, size = [], [], 0
             yield gone()
 
-    lists = rarely.groupBy("row").agg(F.collect_list(F.struct("segment", "groups")).alias("rare"))
+    lists = rarely.groupBy("row").agg(F.collect_list(F.struct("nth", "groups")).alias("rare"))
     kind = rows.schema["id"].dataType.simpleString()
     composed = rows.join(lists, "row", "left").mapInArrow(compose, f"row long, id {kind}, n_a long, n_b long, n_groups long, n_links long, digest string, groups string, pairs array<long>, docs array<long>")
     composed = staged(composed, "alignment-composed")
