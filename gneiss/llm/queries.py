@@ -13,6 +13,7 @@ from gneiss.llm.language_model import lm_scores
 from gneiss.llm.licences import licence_scan
 from gneiss.llm.mixing import mix
 from gneiss.llm.packing import pack
+from gneiss.llm.personal import personal_digests
 from gneiss.llm.runs import run_digests
 from gneiss.llm.simhash import simhash_groups
 from gneiss.llm.toxicity import toxicity
@@ -72,6 +73,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return public_alignment(_table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(_table(spark, sf_dir, "documents"))
 
@@ -79,7 +84,7 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_simhash_groups, op2_lm_scores, op3_embedding_groups, op4_source_mix, op5_best_fit_packing, op6_chat_windows, op7_main_text,
-        op8_exact_dedup, op9_toxicity, op10_licence_scan, op11_tokenizer_alignment, op13_word_runs,
+        op8_exact_dedup, op9_toxicity, op10_licence_scan, op11_tokenizer_alignment, op12_personal_data, op13_word_runs,
     )}
 
 
