@@ -12,6 +12,7 @@ import pytest
 import gneiss.plans.catalogue
 import gneiss.plans.contracts
 import gneiss.plans.elements
+import gneiss.plans.files
 import gneiss.plans.imaging
 import gneiss.plans.ledger
 import gneiss.plans.series
