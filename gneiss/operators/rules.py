@@ -95,6 +95,7 @@ def contexts(series: DataFrame) -> DataFrame:
     """Grouped series with what their texts say: derived, diffusion, asl, strong evidence, score, and the columns of the gates.
 
     image_type, sequence and local are lower-cased texts; scanning, echo_planar, tr and temporal come from the representative.
+    Columns diffused and asl_technique, where there are any, tell what files' elements show.
     """
     every = F.concat_ws(" ", "image_type", F.lower("scanning"), "sequence", "local")
     says = lambda x, needles: contains_any(x, needles.split("|"))
@@ -106,6 +107,9 @@ def contexts(series: DataFrame) -> DataFrame:
         score = score + F.when(F.coalesce(hit, F.lit(False)), worth).otherwise(0)
     rows = series.withColumn("every", every).withColumn("score", score).withColumn("strong", ep | yes | says(kind, FUNCTIONAL_TYPES) | says(sequence, FUNCTIONAL_SEQUENCES))
     rows = rows.withColumn("derived", says(kind, DERIVED_TYPES) | says(F.col("every"), DERIVED_TEXTS)).withColumn("diffusion", says(F.col("every"), DIFFUSION_TEXTS)).withColumn("asl", says(F.col("every"), ASL_TEXTS))
+    for context, shown in (("diffusion", "diffused"), ("asl", "asl_technique")):
+        if shown in series.columns:
+            rows = rows.withColumn(context, F.col(context) | F.col(shown))
     rows = rows.withColumn("derived_diffusion", F.col("diffusion") & F.col("derived") & ~says(kind, "original|mixed"))
     rows = rows.withColumn("acquired_diffusion", F.col("diffusion") & ~F.col("derived_diffusion")).withColumn("mosaic", kind.contains("mosaic"))
     return rows.withColumn("enhanced", F.arrays_overlap("classes", F.slice("allowed_classes", 2, 2)))

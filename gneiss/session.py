@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "gneiss", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -22,3 +24,17 @@ def session(app: str = "gneiss", master: str | None = None, partitions: int | No
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame, written once to the folder that spark.checkpoint.dir names, for plans that read it in several branches.
+
+    Unless the master is local, the folder must be set, so that it is one that all machines share.
+    """
+    context = frame.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="gneiss-"))
+    return frame.checkpoint()
