@@ -75,7 +75,7 @@ class Aligner:
                 y = y[1:]
             elif len(s) == 1:
                 y = [self.space]
-            raw, xs, ys = s.encode("utf-8", "surrogatepass"), [self.a_bytes[i] for i in x], [self.b_bytes[i] for i in y]
+            raw, xs, ys = s.encode(), [self.a_bytes[i] for i in x], [self.b_bytes[i] for i in y]
             out.append(groups(x, y, list(map(len, xs)), list(map(len, ys))) if b"".join(xs) == raw == b"".join(ys) else None)
         return out
 
@@ -105,8 +105,8 @@ def segment_pattern(allowed: str) -> str:
 
 def groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> str:
     """Ids of both sides, cut where tokens of both end."""
-    if len(a) == len(b) == 1:
-        return f"{a[0]}|{b[0]}"
+    if len(a) == 1 or len(b) == 1:
+        return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
     a_ends, b_ends = list(accumulate(a_sizes)), list(accumulate(b_sizes))
     out, i, j, b_at = [], 0, 0, {e: n for n, e in enumerate(b_ends, 1)}
     for n, end in enumerate(a_ends, 1):
@@ -119,16 +119,20 @@ def groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -
 def measure(text: str) -> tuple[int, int, int, dict[int, int]]:
     """(A tokens, B tokens, groups, links by id pair) of a segment's groups; a pair is its A id times 2**32 plus its B id."""
     n_a = n_b = n = 0
-    links: Counter = Counter()
+    links: dict[int, int] = {}
     for group in text.split(";"):
-        a, b = (side.split(",") for side in group.split("|"))
-        n_a, n_b, n = n_a + len(a), n_b + len(b), n + 1
-        if len(a) == len(b) == 1:
-            links[int(a[0]) << 32 | int(b[0])] += 1
-        else:  # distinct ids only: a group of many equal tokens is one pair
-            for x, cx in Counter(a).items():
-                for y, cy in Counter(b).items():
-                    links[int(x) << 32 | int(y)] += cx * cy
+        a, _, b = group.partition("|")
+        n += 1
+        if "," in a or "," in b:
+            xs, ys = a.split(","), b.split(",")
+            n_a, n_b = n_a + len(xs), n_b + len(ys)
+            for x, cx in Counter(xs).items():  # distinct ids only: a group of many equal tokens is one pair
+                for y, cy in Counter(ys).items():
+                    pair = int(x) << 32 | int(y)
+                    links[pair] = links.get(pair, 0) + cx * cy
+        else:
+            n_a, n_b, pair = n_a + 1, n_b + 1, int(a) << 32 | int(b)
+            links[pair] = links.get(pair, 0) + 1
     return n_a, n_b, n, links
 
 
@@ -264,28 +268,29 @@ def _align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str, tex
                 segments = find(f" {text}") if text else []
                 places = list(map(known.place.get, segments))
                 # segments outside the dictionary, in the order in which rare() numbered them
-                often = Counter(s for p, s in zip(places, segments) if p is None)
-                given = {x["nth"]: x["groups"] for x in extra or ()}
-                more = {s: given[nth] for nth, s in enumerate(often)}
+                often = Counter([s for p, s in zip(places, segments) if p is None])
+                more = dict(zip(often, extra or ()))
                 used, times = np.unique(np.array([p for p in places if p is not None], np.int64), return_counts=True)
                 if not segments or known.bad[used].any() or None in more.values():
                     out.append((row, id_, 0, 0, 0, 0, "", "", [], []))
                     continue
                 whole = ";".join([known.groups[p] if p is not None else more[s] for p, s in zip(places, segments)])
-                sizes, pairs = known.sizes[used].T @ times, [known.pairs_of(used)]
+                n_a, n_b, n, n_links = (known.sizes[used].T @ times).tolist()
+                pairs: list[int] = []
                 for s, g in more.items():
-                    a, b, n, links = measure(g)
-                    sizes = sizes + often[s] * np.array([a, b, n, sum(links.values())])
-                    pairs.append(np.fromiter(links, np.int64, len(links)))
-                gathered.append(np.unique(np.concatenate(pairs)))
-                out.append((row, id_, *map(int, sizes), hashlib.sha256(whole.encode()).hexdigest(), whole if keep_groups else None, [], []))
+                    a, b, c, links = measure(g)
+                    k = often[s]
+                    n_a, n_b, n, n_links = n_a + k * a, n_b + k * b, n + k * c, n_links + k * sum(links.values())
+                    pairs += links
+                gathered.append(np.unique(np.concatenate([known.pairs_of(used), np.array(pairs, np.int64)])))
+                out.append((row, id_, n_a, n_b, n, n_links, hashlib.sha256(whole.encode()).hexdigest(), whole if keep_groups else None, [], []))
                 size += len(gathered[-1])
                 if size > GATHERED:
                     yield gone()
                     out, gathered, size = [], [], 0
             yield gone()
 
-    lists = rarely.groupBy("row").agg(F.collect_list(F.struct("nth", "groups")).alias("rare"))
+    lists = rarely.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "groups"))), lambda x: x.groups).alias("rare"))
     kind = rows.schema["id"].dataType.simpleString()
     composed = rows.join(lists, "row", "left").mapInArrow(compose, f"row long, id {kind}, n_a long, n_b long, n_groups long, n_links long, digest string, groups string, pairs array<long>, docs array<long>")
     composed = staged(composed, "alignment-composed")
