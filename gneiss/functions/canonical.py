@@ -55,7 +55,7 @@ ENHANCED_FOURTH = (
     "NEI", "OUT_OF_PHASE", "PERFUSION_ASL", "R_COEFFICIENT", "R2_MAP", "R2_STAR_MAP", "RHO", "SCM", "SNR_MAP", "T1_MAP", "T2_STAR_MAP", "T2_MAP", "TCS", "TEMPERATURE", "VELOCITY", "WATER", "WATER_FRACTION",
 )
 YES_NO = "YES NO"
-#: Allowed codes by (group, element); underscores stand where codes have spaces in SPACED.
+#: Allowed codes by (group, element); a tilde is a space within a code.
 CODES = {
     (0x0008, 0x0060): "MR", (0x0008, 0x9205): "COLOR MONOCHROME MIXED", (0x0008, 0x9206): "VOLUME SAMPLED DISTORTED MIXED",
     (0x0008, 0x9207): "MAX_IP MIN_IP VOLUME_RENDER SURFACE_RENDER MPR CURVED_MPR NONE MIXED", (0x0008, 0x9208): "MAGNITUDE PHASE REAL IMAGINARY MIXED",

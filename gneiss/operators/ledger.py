@@ -99,6 +99,41 @@ def tolerant_distinct(rows: DataFrame, key: str, value: str, tolerance: float) -
     return lists.select(key, fold.alias("values")).withColumn("signatures", F.size("values").cast("long"))
 
 
+def first_seen_distinct(rows: DataFrame, key: str, order: str, values: list[str], tolerances: list[float]) -> DataFrame:
+    """(key, order, values, rank): rows in order, each kept if no kept one of its key agrees with it in every value within that value's tolerance.
+
+    Equal rows collapse to their first before the shuffle. Then a key's rows stream in order through one task, which holds the kept ones in a grid
+    of cells a tolerance wide: a row is compared with those of its own and neighbouring cells only. Nulls and non-finite values are left out.
+    """
+    from itertools import product
+    from math import floor
+
+    finite = " and ".join(f"`{v}` is not null and not isnan(`{v}`) and abs(`{v}`) < double('inf')" for v in values)
+    slim = rows.select(key, order, *[F.col(v).cast("double").alias(v) for v in values]).filter(finite).groupBy(key, *values).agg(F.min(order).alias(order)).select(key, order, *values)
+    width = [t or 1.0 for t in tolerances]
+    near = list(product((-1, 0, 1), repeat=len(values)))
+
+    def run(batches):
+        at, kept, rank = object(), {}, 0
+        for batch in batches:
+            keep = []
+            for row in zip(*(batch[c].tolist() for c in batch.columns)):
+                if row[0] != at:
+                    at, kept, rank = row[0], {}, 0
+                point = row[2:]
+                cell = tuple(floor(x / w) for x, w in zip(point, width))
+                others = (p for step in near for p in kept.get(tuple(c + s for c, s in zip(cell, step)), ()))
+                fresh = not any(all(abs(x - y) <= t for x, y, t in zip(point, p, tolerances)) for p in others)
+                if fresh:
+                    kept.setdefault(cell, []).append(point)
+                    rank += 1
+                keep.append(rank if fresh else 0)
+            yield batch.assign(rank=keep)[[k > 0 for k in keep]]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
+    return slim.repartition(key).sortWithinPartitions(key, order, *values).mapInPandas(run, f"{schema}, rank long")
+
+
 def strict_offsets(rows: DataFrame, key: str, number: str, offset: str, length: str, *more: Column) -> DataFrame:
     """(key, offsets, more): whether a group's offsets start at zero and strictly increase, and no length is zero."""
     before = F.lag(offset).over(Window.partitionBy(key).orderBy(number))

@@ -18,16 +18,20 @@ def _files(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """A small JSON document, written beside its place and renamed into it, so that readers see the old one or the new one."""
+    """A small JSON document, written beside its place and renamed over it in one step, so that readers see the old one or the new one.
+
+    The store's rename must be atomic, as in HDFS and local folders; object stores copy, and there a reader may wait but sees whole documents.
+    """
     final, system = _files(spark, path)
     part, _ = _files(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = system.create(part, True)
     out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
     out.close()
-    if system.exists(final):
-        system.delete(final, False)
-    if not system.rename(part, final):
-        raise OSError(f"{path} could not be written")
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    options[0] = getattr(getattr(fs, "Options$Rename"), "OVERWRITE")
+    files.rename(files.makeQualified(part), files.makeQualified(final), options)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:

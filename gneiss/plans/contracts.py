@@ -41,11 +41,11 @@ def macro_coverage(table):
 
 
 @query("""
-    SELECT l_suppkey, l_partkey, CAST(bool_or(l_returnflag = 'A') AS INT) + CAST(bool_or(l_returnflag = 'N') AS INT) + CAST(bool_or(l_returnflag = 'R') AS INT) = 1 AS one_vendor FROM lineitem GROUP BY 1, 2""")
-def one_vendor(table):
+    SELECT l_suppkey, l_partkey, CAST(bool_or(l_returnflag = 'A') AS INT) + CAST(bool_or(l_returnflag = 'N') AS INT) + CAST(bool_or(l_returnflag = 'R') AS INT) = 1 AS one_kind FROM lineitem GROUP BY 1, 2""")
+def one_kind(table):
     """Exactly one of several exclusive kinds is present in a group."""
     flags = [F.bool_or(F.col("l_returnflag") == f) for f in "ANR"]
-    return table("lineitem").groupBy("l_suppkey", "l_partkey").agg(contracts.exactly_one(flags).alias("one_vendor"))
+    return table("lineitem").groupBy("l_suppkey", "l_partkey").agg(contracts.exactly_one(flags).alias("one_kind"))
 
 
 @query("""

@@ -124,6 +124,17 @@ def signature_set(table):
     return l.tolerant_distinct(values, "l_suppkey", "v", 0.35).select("l_suppkey", "signatures")
 
 
+@query("""
+    WITH e AS (SELECT user_id, event_id, value::DOUBLE AS v, (event_id % 7)::DOUBLE AS w FROM events WHERE value IS NOT NULL),
+    l AS (SELECT user_id, list([v, w] ORDER BY event_id) AS points FROM e GROUP BY 1),
+    k AS (SELECT user_id, list_reduce(list_transform(points, lambda p: [p]), lambda kept, p: CASE WHEN len(list_filter(kept, lambda q: abs(q[1] - p[1][1]) <= 12.5 AND abs(q[2] - p[1][2]) <= 2)) > 0 THEN kept ELSE list_concat(kept, p) END) AS kept FROM l)
+    SELECT user_id, unnest(kept)[1] AS v, unnest(kept)[2] AS w, unnest(range(1, len(kept) + 1)) AS rank FROM k""")
+def first_signatures(table):
+    """Distinct pairs within tolerances, in order of first sight: a value is kept unless one kept before agrees with it."""
+    points = table("events").select("user_id", "event_id", F.col("value").cast("double").alias("v"), (F.col("event_id") % 7).cast("double").alias("w"))
+    return l.first_seen_distinct(points, "user_id", "event_id", ["v", "w"], [12.5, 2.0]).select("user_id", "v", "w", "rank")
+
+
 @query("""
     WITH n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_linenumber, CAST(l_quantity AS BIGINT) AS length, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - CAST(l_quantity AS BIGINT) AS at_ FROM lineitem)
     SELECT l_orderkey, count(*) = max(l_linenumber) AND min(l_linenumber) = 1 AND count(DISTINCT l_linenumber) = count(*) AS complete, bool_and(CASE WHEN i = 1 THEN at_ - l_linenumber + 1 = 0 ELSE l_linenumber > 1 END) AND bool_and(length > 0) AS offsets FROM n GROUP BY 1""")

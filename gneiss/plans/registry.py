@@ -17,6 +17,8 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
+        if build.__name__ in QUERIES:
+            raise ValueError(f"{build.__name__} is registered twice")
         run.__name__ = build.__name__
         run.__doc__ = build.__doc__
         QUERIES[build.__name__] = run

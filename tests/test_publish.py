@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +43,27 @@ def test_coil_macros_are_whole_or_refused(spark):
     rows = spark.createDataFrame([(1, k, t, v) for k, cells in cases.items() for t, v in cells], "file int, item int, tag string, value string")
     assert {r["item"]: (r["elements"], r["valid"]) for r in publish.rebuilt_coils(rows).collect()} == {1: (2, True), 2: (2, False), 3: (2, False), 4: (2, False), 5: (0, False), 6: (1, False)}
     assert rows.filter(F.col("tag") == "00100010").count() == 1
+
+
+def test_a_reader_always_finds_a_pointer(spark, tmp_path):
+    import threading
+
+    path, seen, stop = f"file://{tmp_path}/current.json", [], threading.Event()
+    publish.write_json(spark, path, {"version": 0})
+
+    def look():
+        while not stop.is_set():
+            try:
+                seen.append(json.loads((tmp_path / "current.json").read_text())["version"])
+            except (OSError, ValueError, KeyError) as e:
+                seen.append(e)
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    for n in range(1, 40):
+        publish.write_json(spark, path, {"version": n})
+    stop.set()
+    reader.join()
+    assert publish.read_json(spark, path) == {"version": 39}
+    assert [x for x in seen if isinstance(x, Exception)] == [] and seen == sorted(seen) and len(set(seen)) > 1
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["current.json"]
