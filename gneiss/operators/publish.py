@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,17 +21,31 @@ def _files(spark: SparkSession, path: str):
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
     """A small JSON document, written beside its place and renamed over it in one step, so that readers see the old one or the new one.
 
-    The store's rename must be atomic, as in HDFS and local folders; object stores copy, and there a reader may wait but sees whole documents.
+    HDFS and local folders replace a file in one step; object stores put whole objects, where readers see either as well.
     """
     final, system = _files(spark, path)
+    text = json.dumps(value, sort_keys=True).encode()
+    if system.getUri().getScheme() == "file":  # Hadoop's local rename deletes first; its checksum file would not fit the new bytes
+        place = final.toUri().getPath()
+        part = f"{place}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as out:
+            out.write(text)
+            out.flush()
+            os.fsync(out.fileno())
+        check = os.path.join(os.path.dirname(place), f".{os.path.basename(place)}.crc")
+        if os.path.exists(check):
+            os.remove(check)
+        os.replace(part, place)
+        return
     part, _ = _files(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = system.create(part, True)
-    out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+    out.write(bytearray(text))
     out.close()
     fs = spark._jvm.org.apache.hadoop.fs
+    kinds = getattr(fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kinds, 1)
+    options[0] = kinds.OVERWRITE
     files = fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
-    options[0] = getattr(getattr(fs, "Options$Rename"), "OVERWRITE")
     files.rename(files.makeQualified(part), files.makeQualified(final), options)
 
 
