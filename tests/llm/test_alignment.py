@@ -56,6 +56,14 @@ def test_segments_give_the_whole_texts_tokens(aligner):
         assert want is None or ";".join(got) == written(want)
 
 
+@pytest.mark.parametrize("allowed", ["", " ", " \t\n\x0b\x0c", alignment.CUTS])
+def test_short_pattern_has_the_same_matches(allowed):
+    rng, find = random.Random(2), alignment.segmenter(allowed)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab  \t\n" + ("\r\xa0\u3000" if rng.random() < 0.3 else "")) for _ in range(rng.randrange(12)))
+        assert find(text) == re.findall(alignment.segment_pattern(allowed), text)
+
+
 def test_cuts_need_all_tokens():
     assert alignment.cuts([b"ab", b" a", b"\n\n"]) == alignment.CUTS
     assert alignment.cuts([b"a b"]) == "\t\n\x0b\x0c\r"
