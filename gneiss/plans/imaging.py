@@ -21,7 +21,9 @@ def literal(v) -> str:
 def samples(table, rows: list[tuple], names: str, step: int = 4) -> DataFrame:
     """(file, i, *names): each part's share of the sample rows, without a join."""
     cells = [F.struct(F.lit(i).alias("i"), *[F.lit(v).alias(n) for n, v in zip(names.split(), r)]) for i, r in enumerate(rows)]
-    exploded = table("part").select(F.col("p_partkey").alias("file"), F.explode(F.array(*cells)).alias("s")).select("file", "s.*")
+    # each key becomes many rows, so the keys, a small column, are dealt out over all cores before that
+    keys = table("part").select(F.col("p_partkey").alias("file"))
+    exploded = keys.repartition(keys.sparkSession.sparkContext.defaultParallelism).select("file", F.explode(F.array(*cells)).alias("s")).select("file", "s.*")
     return exploded.filter(F.expr(f"(file + i) % {step} <> 0"))
 
 
