@@ -17,7 +17,8 @@ import gneiss.plans.imaging
 import gneiss.plans.ledger
 import gneiss.plans.series
 import gneiss.plans.validators
-import gneiss.plans.streams  # noqa: F401
+import gneiss.plans.streams
+import gneiss.plans.units  # noqa: F401
 from gneiss.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
