@@ -1,16 +1,18 @@
 """Main text of web pages, by structure and by removing what recurs across a host's pages.
 
-Each page is read once into text blocks; a block knows the hashes of the element subtrees around it that may
-be templates. Spark counts each subtree hash over the different articles of its host, and blocks inside subtrees
-that recur in many of them are deleted. What is left decides where the main text lies: in articles, else in the main
-element, else in the body.
+Each page is read once into text blocks and the element subtrees that hold them, as hashes with the first and last block.
+Spark counts each subtree hash over the different articles of its host, and blocks inside subtrees
+that recur in many of them are deleted; tags and classes judge only what is left. The rest decides where the main text lies: in
+articles, else in the main element, else in the body.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import xxhash
@@ -70,40 +72,56 @@ def marked(attributes: str, in_article: bool) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "article", "parts", "template", "first")
+    __slots__ = ("tag", "dropped", "article", "main", "parts", "template", "first", "quiet")
 
-    def __init__(self, tag: str, dropped: bool, article: bool, template: bool, first: int):
-        self.tag, self.dropped, self.article, self.template, self.first = tag, dropped, article, template, first
+    def __init__(self, tag: str, dropped: bool, article: bool, main: bool, template: bool, first: int, quiet: bool = False):
+        self.tag, self.dropped, self.article, self.main, self.template, self.first, self.quiet = tag, dropped, article, main, template, first, quiet
         self.parts: list[bytes] = []
 
 
-def blocks(page: str) -> list[tuple[str, list[int], int]]:
-    """(text, hashes of the subtrees around it that may be templates, rank) of each text block, in page order.
+def blocks(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[int, int, int]]]:
+    """(text, rank, marked) of each text block in page order, and (hash, first block, block after the last) of each subtree that may be a template.
 
-    The rank is 2 in an article, 1 in a main element, else 0. Hashes of subtrees inside an article are even, others odd.
+    The rank is 2 in an article, 1 in a main element, else 0; marked are blocks inside elements that tags or attributes set apart. Hashes of
+    subtrees inside an article are even, others odd. What is set apart has subtrees of its own but counts in those around it by its tag only, so
+    that a token in a form does not make a template look new. Each element is opened and closed once: deep nesting costs no more than its length.
     """
-    found: list[tuple[str, list[int], int]] = []
-    stack = [Element("", False, False, False, 0)]
+    found: list[tuple[str, int, bool]] = []
+    subtrees: list[tuple[int, int, int]] = []
+    stack = [Element("", False, False, False, False, 0)]
+    opened: Counter[str] = Counter()
     text: list[str] = []
+    mark = False
+
+    def start(tag: str, dropped: bool, article: bool, template: bool, quiet: bool = False) -> None:
+        stack.append(Element(tag, dropped, article, stack[-1].main or tag == "main", template, len(found), quiet))
+        opened[tag] += 1
+
+    def add(piece: str) -> None:
+        nonlocal mark
+        # what an inline element hides is no block of its own: the text around it stays one
+        if not stack[-1].quiet:
+            text.append(html.unescape(piece) if "&" in piece else piece)
+            mark = stack[-1].dropped
 
     def flush() -> None:
         if text:
             words = " ".join("".join(text).split())
             text.clear()
             if words:
-                rank = 2 if stack[-1].article else any(e.tag == "main" for e in stack)
-                found.append((words, [], int(rank)))
-                stack[-1].parts.append(words.encode())
+                at = stack[-1]
+                found.append((words, 2 if at.article else int(at.main), mark))
+                at.parts.append(words.encode())
 
     def close() -> None:
         element = stack.pop()
+        opened[element.tag] -= 1
+        above = stack[-1]
         own = xxhash.xxh64_intdigest(element.tag.encode() + b"<" + b"<".join(element.parts))
         own -= (own >> 63) << 64
-        stack[-1].parts.append(own.to_bytes(8, "little", signed=True))
-        if element.template and not element.dropped:
-            own = own & ~1 if element.article else own | 1
-            for _, hashes, _ in found[element.first :]:
-                hashes.append(own)
+        above.parts.append(element.tag.encode() if element.dropped and not above.dropped else own.to_bytes(8, "little", signed=True))
+        if element.template and len(found) > element.first:
+            subtrees.append((own & ~1 if element.article else own | 1, element.first, len(found)))
 
     at, raw = 0, None
     for m in TOKEN.finditer(page):
@@ -114,9 +132,8 @@ def blocks(page: str) -> list[tuple[str, list[int], int]]:
             if not (tag and (m[1] or m[4]) and tag.lower() == raw):
                 continue
             raw = None
-        elif m.start() > at and not stack[-1].dropped:
-            piece = page[at : m.start()]
-            text.append(html.unescape(piece) if "&" in piece else piece)
+        elif m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         if not tag:
             continue
@@ -124,17 +141,18 @@ def blocks(page: str) -> list[tuple[str, list[int], int]]:
         if tag in INLINE and not ends and tag != "img":
             # inline elements matter only where they are marked as no text
             if attributes and not stack[-1].dropped and marked(attributes, stack[-1].article):
-                stack.append(Element(tag, True, stack[-1].article, False, len(found)))
+                start(tag, True, stack[-1].article, False, True)
             elif stack[-1].dropped and stack[-1].tag == tag:
-                stack.append(Element(tag, True, stack[-1].article, False, len(found)))
+                start(tag, True, stack[-1].article, False, stack[-1].quiet)
             continue
         if ends:
             if tag in INLINE:
                 if stack[-1].tag == tag:
                     stack.pop()
+                    opened[tag] -= 1
                 continue
             flush()
-            if any(e.tag == tag for e in stack):
+            if opened[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -151,7 +169,7 @@ def blocks(page: str) -> list[tuple[str, list[int], int]]:
             while stack[-1].tag == "p" or stack[-1].tag in INLINE and stack[-1].tag:
                 close()
             kinds, limit = IMPLIED.get(tag, ((), ()))
-            if kinds:
+            if any(opened[k] for k in kinds):
                 depth = len(stack) - 1
                 while depth and stack[depth].tag not in limit and stack[depth].tag not in kinds:
                     depth -= 1
@@ -162,31 +180,45 @@ def blocks(page: str) -> list[tuple[str, list[int], int]]:
         article = above.article or tag == "article"
         dropped = above.dropped or tag in DROPPED or tag == "header" and not above.article or bool(attributes) and marked(attributes, above.article)
         template = tag not in ("html", "body", "main", "article") and not (article and tag in TEXT)
-        stack.append(Element(tag, dropped, article and not dropped, template, len(found)))
+        start(tag, dropped, article and not dropped, template)
         if tag in RAW and not attributes.rstrip().endswith("/"):
             raw = tag
-    if not raw and at < len(page) and not stack[-1].dropped:
-        text.append(html.unescape(page[at:]))
+    if not raw and at < len(page):
+        add(page[at:])
     flush()
     while len(stack) > 1:
         close()
-    return found
+    return found, subtrees
 
 
-def best(found: list[tuple[str, list[int], int]]) -> list[str]:
-    """Texts of the highest rank there is."""
-    top = max((rank for _, _, rank in found), default=0)
-    return [words for words, _, rank in found if rank == top]
+def best(found: list[tuple[str, int, bool]], gone: list[bool] | None = None, marks: bool = True) -> list[str]:
+    """Texts of the highest rank there is among blocks that are not gone, nor marked (with marks)."""
+    left = [(words, rank) for n, (words, rank, marked_) in enumerate(found) if not (gone and gone[n]) and not (marks and marked_)]
+    top = max((rank for _, rank in left), default=0)
+    return [words for words, rank in left if rank == top]
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(id, url, text, n_chars) for each row of pages.
+def covered(blocks_: int, subtrees: list[tuple[int, int, int]], removed: set[int]) -> list[bool]:
+    """Whether each block lies in a removed subtree: starts and ends are counted once, then summed along the page."""
+    steps = [0] * (blocks_ + 1)
+    for own, first, last in subtrees:
+        if own in removed:
+            steps[first] += 1
+            steps[last] -= 1
+    return [x > 0 for x in accumulate(steps[:blocks_])]
 
-    First go the parts that elements or attributes mark as something else, and subtrees that recur in at least
-    least_pages different articles of the host (inside an article also in least_share of its articles). Of
-    what is left the text is that of the page's articles, else its main element, else its body. Pages with equal text count
-    as one, so that copies of a page are no template. Inside an article, paragraphs, headings, list items and
-    cells stay even where they recur.
+
+def main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, marks: bool = True
+) -> DataFrame:
+    """(id, url, text, n_chars, n_template, n_marked) for each row of pages.
+
+    Subtrees of all elements, whatever their tags and classes, are counted over the different articles of their host; first go those that recur
+    in at least least_pages of them (inside an article also in least_share of them): n_template blocks. Of what recurrence left, the
+    blocks go that elements or attributes mark as something else: n_marked; this is for hosts with few pages and for what never recurs, such as
+    readers' comments, and off with marks=False. Of what is left the text is that of the page's articles, else its main
+    element, else its body. Pages with equal text count as one, so that copies of a page are no template. Inside an article, paragraphs,
+    headings, list items and cells stay even where they recur.
 
     Null and empty pages have an empty text. Null URLs are a host of their own. Rows that repeat an id each get a row; an empty
     table gives no rows; other columns are not read.
@@ -194,20 +226,31 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            read = [blocks(page) if page else [] for page in pdf["html"]]
+            read = [blocks(page) if page else ([], []) for page in pdf["html"]]
             yield pd.DataFrame({
                 "row": pdf["row"], "id": pdf["id"], "url": pdf["url"].astype(object), "host": pdf["host"].astype(object),
-                "content": [xxhash.xxh64_intdigest("\n".join(best(found))) - (1 << 63) for found in read],
-                "texts": [[t for t, _, _ in found] for found in read],
-                "around": [[h for _, h, _ in found] for found in read],
-                "ranks": [[r for _, _, r in found] for found in read],
+                "content": [xxhash.xxh64_intdigest("\n".join(best(found))) - (1 << 63) for found, _ in read],
+                "texts": [[t for t, _, _ in found] for found, _ in read],
+                "ranks": [[r for _, r, _ in found] for found, _ in read],
+                "marked": [[m for _, _, m in found] for found, _ in read],
+                "subtrees": [[{"own": h, "first": a, "last": b} for h, a, b in around] for _, around in read],
             })
 
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, url, texts, ranks, marked_, around, removed in pdf.itertuples(index=False):
+                found = list(zip(texts, map(int, ranks), map(bool, marked_)))
+                gone = covered(len(found), [(x["own"], x["first"], x["last"]) for x in around], set() if removed is None else set(map(int, removed)))
+                text = "\n".join(best(found, gone, marks))
+                rows.append((None if pd.isna(i) else int(i), url, text, len(text), sum(gone), sum(m and not g for g, (_, _, m) in zip(gone, found)) if marks else 0))
+            yield pd.DataFrame(rows, columns=["id", "url", "text", "n_chars", "n_template", "n_marked"]).astype({"id": "Int64", "url": object, "text": object})
+
     host = F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col(html_col).alias("html"))
-    schema = "row long, id long, url string, host string, content long, texts array<string>, around array<array<long>>, ranks array<int>"
+    schema = "row long, id long, url string, host string, content long, texts array<string>, ranks array<int>, marked array<boolean>, subtrees array<struct<own:long,first:int,last:int>>"
     read = staged(rows.mapInPandas(run, schema), "page-blocks")
-    inside = read.select("row", "host", "content", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
+    inside = read.select("row", "host", "content", F.explode(F.array_distinct("subtrees.own")).alias("subtree"))
     inside = inside.withColumn("key", F.xxhash64("host", "subtree"))
     counts = inside.groupBy("host", "key", "content").agg(F.count("*").alias("rows"), F.first(F.col("subtree").bitwiseAND(1)).alias("outside"))
     counts = counts.groupBy("host", "key").agg(F.count("*").alias("articles"), F.sum("rows").alias("rows"), F.max("outside").alias("outside"))
@@ -217,9 +260,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     found = split_join(inside.select("row", "subtree", "key"), recurring.select("key", "rows"), "key", "rows", read.count(), F.col("row"))
     removed = staged(found.filter("rows is not null").groupBy("row").agg(F.collect_set("subtree").alias("removed")), "removed")
     joined = read.join(F.broadcast(removed) if removed.count() <= SMALL else removed, "row", "left")
-    pairs = F.arrays_zip("texts", "around", "ranks")
-    left = F.when(F.col("removed").isNull(), pairs).otherwise(F.filter(pairs, lambda b: ~F.arrays_overlap(b["around"], F.col("removed"))))
-    joined = joined.withColumn("left", left).withColumn("top", F.array_max(F.transform("left", lambda b: b["ranks"])))
-    kept = F.transform(F.filter("left", lambda b: b["ranks"] == F.col("top")), lambda b: b["texts"])
-    text = F.concat_ws("\n", kept)
-    return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    whole = joined.select(F.col("id"), "url", "texts", "ranks", "marked", "subtrees", "removed")
+    done = whole.mapInPandas(finish, "id long, url string, text string, n_chars long, n_template long, n_marked long")
+    return done.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -443,11 +443,45 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_blocks_of_a_page():
-    assert html_text.best(html_text.blocks(PAGE)) == ["Title & more", "One bold x two three", "Four <5 é", "a", "b", "c1", "c2", "End"]
-    assert [t for t, *_ in html_text.blocks("plain <b>text</b> a < b &amp; c")] == ["plain text a < b & c"]
-    assert html_text.blocks("") == [] and html_text.blocks("<p") == [("<p", [], 0)]
-    assert [t for t, *_ in html_text.blocks("<div>" * 5000 + "deep")] == ["deep"]
-    assert [t for t, *_ in html_text.blocks('<p title="a>b" class=x>q</p><p "unclosed>r</p>')] == ["q", "r"]
+    texts = lambda page: html_text.best(html_text.blocks(page)[0])
+    assert texts(PAGE) == ["Title & more", "One bold x two three", "Four <5 é", "a", "b", "c1", "c2", "End"]
+    assert texts("plain <b>text</b> a < b &amp; c") == ["plain text a < b & c"]
+    assert html_text.blocks("") == ([], []) and html_text.blocks("<p")[0] == [("<p", 0, False)]
+    assert texts('<p title="a>b" class=x>q</p><p "unclosed>r</p>') == ["q", "r"]
+    # hidden inline parts leave their sentence whole; a block ends them
+    assert texts('<p>one <span hidden>x <i>y</i></span>two</p>') == ["one two"]
+    assert texts('<div>one <span class="ad">x<div>y</div></span>two</div>') == ["one", "y", "two"]
+    # what tags set apart is read too, and marked
+    assert [t for t, _, m in html_text.blocks(PAGE)[0] if m] == ["Site", "We use cookies", "Menu", "More", "Buy", "mail", "side", "r", "h", "first!", "s", "© x"]
+
+
+def test_deep_pages_cost_no_more_than_their_length():
+    import time
+
+    for page in ("<div>x" * 40_000, "<div>" * 40_000 + "deep", "<div>x" * 20_000 + "</div>y" * 20_000):
+        began = time.time()
+        found, subtrees = html_text.blocks(page)
+        assert len(subtrees) <= 40_000 and len(html_text.covered(len(found), subtrees, {h for h, _, _ in subtrees[:5]})) == len(found)
+        assert time.time() - began < 5
+
+
+def test_recurrence_alone_clears_pages_of_one_template(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(900)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(200):
+        story = [words(12) for _ in range(3)]
+        host = "ab"[i % 2]
+        page = f'<nav><ul><li>Start {host}</li><li>News</li></ul></nav><div class="ad">Buy {i % 3}</div><div>{"".join(f"<p>{t}</p>" for t in story)}</div><footer>© {host}</footer>'
+        rows.append((i, f"https://{host}.example/{i}", f"<html><body>{page}</body></html>"))
+        want[i] = "\n".join(story)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    alone = {r["page_id"]: r for r in html_text.main_text(pages, marks=False).collect()}
+    assert all(alone[i]["text"] == want[i] and alone[i]["n_template"] == 4 and alone[i]["n_marked"] == 0 for i in want)
+    neither = {r["page_id"]: r["text"] for r in html_text.main_text(pages, marks=False, least_pages=10**9).collect()}
+    assert not any(neither[i] == want[i] for i in want)
+    few = {r["page_id"]: r for r in html_text.main_text(pages.limit(6)).collect()}
+    assert all(r["text"] == want[i] and r["n_template"] == 0 and r["n_marked"] == 4 for i, r in few.items())
 
 
 def test_templates_of_a_host_go(spark):
