@@ -9,6 +9,7 @@ articles, else in the main element, else in the body.
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,10 +17,11 @@ from itertools import accumulate
 
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import SMALL, split_join, staged
+from gneiss.llm.shared import split_join, staged
 
 #: Elements that never hold article text.
 DROPPED = frozenset("head script style noscript template nav aside form button select option input textarea label iframe object embed svg canvas audio video map menu dialog footer math".split())
@@ -225,32 +227,32 @@ def main_text(
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor()
         for pdf in batches:
             read = [blocks(page) if page else ([], []) for page in pdf["html"]]
             yield pd.DataFrame({
-                "row": pdf["row"], "id": pdf["id"], "url": pdf["url"].astype(object), "host": pdf["host"].astype(object),
+                "row": pdf["row"], "id": pdf["id"].astype(object), "url": pdf["url"].astype(object), "host": pdf["host"].astype(object),
                 "content": [xxhash.xxh64_intdigest("\n".join(best(found))) - (1 << 63) for found, _ in read],
-                "texts": [[t for t, _, _ in found] for found, _ in read],
-                "ranks": [[r for _, r, _ in found] for found, _ in read],
-                "marked": [[m for _, _, m in found] for found, _ in read],
-                "subtrees": [[{"own": h, "first": a, "last": b} for h, a, b in around] for _, around in read],
+                "subtrees": [list({h for h, _, _ in around}) for _, around in read],
+                "packed": [packer.compress(json.dumps(page, ensure_ascii=False).encode("utf-8", "surrogatepass")) for page in read],
             })
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdDecompressor()
         for pdf in batches:
             rows = []
-            for i, url, texts, ranks, marked_, around, removed in pdf.itertuples(index=False):
-                found = list(zip(texts, map(int, ranks), map(bool, marked_)))
-                gone = covered(len(found), [(x["own"], x["first"], x["last"]) for x in around], set() if removed is None else set(map(int, removed)))
+            for i, url, packed, removed in pdf.itertuples(index=False):
+                found, around = json.loads(packer.decompress(packed).decode("utf-8", "surrogatepass"))
+                gone = covered(len(found), around, set() if removed is None else set(map(int, removed)))
                 text = "\n".join(best(found, gone, marks))
-                rows.append((None if pd.isna(i) else int(i), url, text, len(text), sum(gone), sum(m and not g for g, (_, _, m) in zip(gone, found)) if marks else 0))
-            yield pd.DataFrame(rows, columns=["id", "url", "text", "n_chars", "n_template", "n_marked"]).astype({"id": "Int64", "url": object, "text": object})
+                rows.append((i, url, text, len(text), sum(gone), sum(m and not g for g, (_, _, m) in zip(gone, found)) if marks else 0))
+            yield pd.DataFrame(rows, columns=["id", "url", "text", "n_chars", "n_template", "n_marked"]).astype({"id": object, "url": object, "text": object})
 
     host = F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col(html_col).alias("html"))
-    schema = "row long, id long, url string, host string, content long, texts array<string>, ranks array<int>, marked array<boolean>, subtrees array<struct<own:long,first:int,last:int>>"
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").cast("string").alias("id"), F.col(url_col).alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col(html_col).alias("html"))
+    schema = "row long, id string, url string, host string, content long, subtrees array<long>, packed binary"
     read = staged(rows.mapInPandas(run, schema), "page-blocks")
-    inside = read.select("row", "host", "content", F.explode(F.array_distinct("subtrees.own")).alias("subtree"))
+    inside = read.select("row", "host", "content", F.explode("subtrees").alias("subtree"))
     inside = inside.withColumn("key", F.xxhash64("host", "subtree"))
     counts = inside.groupBy("host", "key", "content").agg(F.count("*").alias("rows"), F.first(F.col("subtree").bitwiseAND(1)).alias("outside"))
     counts = counts.groupBy("host", "key").agg(F.count("*").alias("articles"), F.sum("rows").alias("rows"), F.max("outside").alias("outside"))
@@ -259,7 +261,8 @@ def main_text(
     recurring = staged(recurring.groupBy("key").agg(F.sum("rows").alias("rows")), "templates")
     found = split_join(inside.select("row", "subtree", "key"), recurring.select("key", "rows"), "key", "rows", read.count(), F.col("row"))
     removed = staged(found.filter("rows is not null").groupBy("row").agg(F.collect_set("subtree").alias("removed")), "removed")
-    joined = read.join(F.broadcast(removed) if removed.count() <= SMALL else removed, "row", "left")
-    whole = joined.select(F.col("id"), "url", "texts", "ranks", "marked", "subtrees", "removed")
-    done = whole.mapInPandas(finish, "id long, url string, text string, n_chars long, n_template long, n_marked long")
-    return done.withColumnsRenamed({"id": id_col, "url": url_col})
+    # a page's blocks travel once, packed, and by the same plan at every size
+    whole = read.select("row", "id", "url", "packed").join(removed.hint("merge"), "row", "left").select("id", "url", "packed", "removed")
+    done = whole.mapInPandas(finish, "id string, url string, text string, n_chars long, n_template long, n_marked long")
+    # ids pass pandas as text: as numbers, a null among them would round large ones
+    return done.withColumn("id", F.col("id").cast("long")).withColumnsRenamed({"id": id_col, "url": url_col})
