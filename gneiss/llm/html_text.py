@@ -226,15 +226,20 @@ def main_text(
     table gives no rows; other columns are not read.
     """
 
+    def numbered(found: list[tuple[str, int, bool]], around: list[tuple[int, int, int]]) -> tuple[list, list]:
+        # subtrees by their place among the page's different ones; of marked blocks that cannot stay only the places are kept
+        place = {h: n for n, h in enumerate(dict.fromkeys(h for h, _, _ in around))}
+        return [("" if marks and m else t, r, int(m)) for t, r, m in found], [(place[h], a, b) for h, a, b in around]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = zstandard.ZstdCompressor()
+        packer = zstandard.ZstdCompressor(9)
         for pdf in batches:
             read = [blocks(page) if page else ([], []) for page in pdf["html"]]
             yield pd.DataFrame({
                 "row": pdf["row"], "id": pdf["id"].astype(object), "url": pdf["url"].astype(object), "host": pdf["host"].astype(object),
                 "content": [xxhash.xxh64_intdigest("\n".join(best(found))) - (1 << 63) for found, _ in read],
-                "subtrees": [list({h for h, _, _ in around}) for _, around in read],
-                "packed": [packer.compress(json.dumps(page, ensure_ascii=False).encode("utf-8", "surrogatepass")) for page in read],
+                "subtrees": [list(dict.fromkeys(h for h, _, _ in around)) for _, around in read],
+                "packed": [packer.compress(json.dumps(numbered(*page), ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")) for page in read],
             })
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,15 +257,15 @@ def main_text(
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").cast("string").alias("id"), F.col(url_col).alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col(html_col).alias("html"))
     schema = "row long, id string, url string, host string, content long, subtrees array<long>, packed binary"
     read = staged(rows.mapInPandas(run, schema), "page-blocks")
-    inside = read.select("row", "host", "content", F.explode("subtrees").alias("subtree"))
+    inside = read.select("row", "host", "content", F.posexplode("subtrees").alias("place", "subtree"))
     inside = inside.withColumn("key", F.xxhash64("host", "subtree"))
     counts = inside.groupBy("host", "key", "content").agg(F.count("*").alias("rows"), F.first(F.col("subtree").bitwiseAND(1)).alias("outside"))
     counts = counts.groupBy("host", "key").agg(F.count("*").alias("articles"), F.sum("rows").alias("rows"), F.max("outside").alias("outside"))
     hosts = read.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_articles"))
     recurring = counts.filter(F.col("articles") >= least_pages).join(hosts, "host").filter((F.col("outside") == 1) | (F.col("articles") >= least_share * F.col("host_articles")))
     recurring = staged(recurring.groupBy("key").agg(F.sum("rows").alias("rows")), "templates")
-    found = split_join(inside.select("row", "subtree", "key"), recurring.select("key", "rows"), "key", "rows", read.count(), F.col("row"))
-    removed = staged(found.filter("rows is not null").groupBy("row").agg(F.collect_set("subtree").alias("removed")), "removed")
+    found = split_join(inside.select("row", "place", "key"), recurring.select("key", "rows"), "key", "rows", read.count(), F.col("row"))
+    removed = staged(found.filter("rows is not null").groupBy("row").agg(F.collect_set("place").alias("removed")), "removed")
     # a page's blocks travel once, packed, and by the same plan at every size
     whole = read.select("row", "id", "url", "packed").join(removed.hint("merge"), "row", "left").select("id", "url", "packed", "removed")
     done = whole.mapInPandas(finish, "id string, url string, text string, n_chars long, n_template long, n_marked long")
