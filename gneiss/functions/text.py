@@ -16,6 +16,23 @@ def ascii_lower(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 
 
+def _special_capitals() -> dict[str, str]:
+    """Characters whose capital by upper() is not the one character of Unicode 15's simple mapping, with that character."""
+    longer = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}
+    newer = ["\u019b", "\u0264", "\u1c8a", "\ua7cd", "\ua7db", *map(chr, range(0x10D70, 0x10D86))]
+    return longer | {"ß": "ẞ"} | dict(zip(newer, newer))
+
+
+CAPITALS = _special_capitals()
+
+
+def upper_by_character(x: Column) -> Column:
+    """Upper case that keeps the number of characters, as SQL engines with simple case mapping give it: ŉ stays, ß is ẞ, ᾳ is ᾼ."""
+    keys, values = "".join(CAPITALS), "".join(CAPITALS.values())
+    one = lambda c: F.when(c.isin(*CAPITALS), F.translate(c, keys, values)).otherwise(F.upper(c))
+    return F.array_join(F.transform(F.split(x, ""), one), "")
+
+
 def protocol_label(x: Column) -> Column:
     """Lower case; every run of other characters than a-z and 0-9 is one underscore, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), "^_+|_+$", "")

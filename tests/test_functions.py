@@ -182,3 +182,20 @@ def test_timer_ends_idle_uploads():
         assert next(advance((7,), events(*kinds), state, 5000))["status"].iat[0] == before and state.timeout == 5000
         state.hasTimedOut = True
         assert next(advance((7,), iter([]), state, 5000))["status"].iat[0] == after and state.value is None
+
+
+def test_upper_case_by_character_agrees_with_sql(spark):
+    import duckdb
+
+    from gneiss.plans.registry import SQL
+    from gneiss.plans.validators import span_audit
+
+    chars = [chr(c) for c in range(1, 0x1FFFF) if not 0xD800 <= c < 0xE000]
+    ours = spark.createDataFrame([(c,) for c in chars], "x string").select("x", text.upper_by_character(F.concat(F.lit("a"), "x", F.lit("b"))).alias("y")).toPandas()
+    theirs = duckdb.connect().execute("select upper('a' || x || 'b') from ours").fetchall()
+    assert [r[0] for r in theirs] == list(ours["y"])
+    texts = [(5, "0123456789 12 34"), (10, "ŉßﬁ0123456789 12 34"), (15, "0123456789 \U0001f600 ŉ ﬁ"), (20, "0123456789 ß"), (25, None), (30, ""), (35, "ßßßßß" * 4 + "1" * 30), (7, "ŉ" * 30)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    assert sorted(map(tuple, span_audit(lambda _: documents).collect())) == sorted(con.execute(SQL["span_audit"]).fetchall())
