@@ -30,29 +30,47 @@ MOST, OVERFLOW = 64, {"classes": "unsupported-overflow", "modalities": "unsuppor
 # End of fixed values.
 
 
+def _attributes(best, any_) -> dict[str, Column]:
+    """Attributes of a file's root, and what its elements show anywhere. best(condition, value) is the greatest value where the condition holds,
+    any_(condition) whether it holds somewhere; both take functions of an element, whose fields are its items."""
+    root, tag = lambda r: r["depth"] == 0, lambda r, g, e: (r["grp"] == g) & (r["elem"] == e)
+    head = lambda r: F.get(r["values"], F.lit(0))
+    private = lambda r, creator, g, low: (r["grp"] == g) & (r["elem"].bitwiseAND(0xFF) == low) & (F.upper(F.trim(r["creator"])) == creator.upper())
+    number = lambda r: head(r).try_cast("double")
+    philips = "Philips MR Imaging DD 001"
+    at = lambda t: lambda r: root(r) & tag(r, *t)
+    filled = lambda t: lambda r: at(t)(r) & (head(r) != "")
+    found = {n: best(filled(t), head) for n, t in SINGLE.items()}
+    found |= {n: best(at(t), lambda r: F.filter(r["values"], lambda v: v != "")) for n, t in LISTS.items()}
+    return found | {
+        "overlay": any_(lambda r: root(r) & (r["grp"].between(0x6000, 0x60FF) | (r["grp"] == 0x0070))),
+        "csa": any_(lambda r: private(r, "SIEMENS CSA HEADER", 0x0029, 0x10) & F.startswith(head(r), F.lit("53563130"))),
+        "slices": any_(lambda r: private(r, "Image Private Header", 0x0065, 0x50) & number(r).between(1, 4096)),
+        "b_value": any_(lambda r: tag(r, 0x0018, 0x9087) & (number(r) >= 0)),
+        "diffused": any_(lambda r: tag(r, 0x0018, 0x9087) & (number(r) > 1)),
+        "asl_technique": any_(lambda r: tag(r, 0x0018, 0x9250)),
+        "asl_context": any_(lambda r: tag(r, 0x0018, 0x9257)),
+        "scaling": any_(lambda r: private(r, philips, 0x2005, 0x0D) | private(r, philips, 0x2005, 0x0E)),
+        "scaling_usable": any_(lambda r: private(r, philips, 0x2005, 0x0D)) & any_(lambda r: private(r, philips, 0x2005, 0x0E) & (number(r) > 0)),
+    }
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({name: F.trim(name).try_cast("double") for name in NUMERIC})
+
+
 def header_rows(elements: DataFrame) -> DataFrame:
     """One row for each file (column `file`) of parsed elements: attributes of its root, and what its elements show anywhere."""
-    root, tag = F.col("depth") == 0, lambda g, e: (F.col("grp") == g) & (F.col("elem") == e)
-    first = lambda g, e: F.max(F.when(root & tag(g, e) & (F.get("values", F.lit(0)) != ""), F.get("values", F.lit(0))))
-    lists = {n: F.max(F.when(root & tag(*t), F.filter("values", lambda v: v != ""))) for n, t in LISTS.items()}
-    any_ = lambda when: F.coalesce(F.bool_or(when), F.lit(False))
-    private = lambda creator, g, low: (F.upper(F.trim("creator")) == creator.upper()) & (F.col("grp") == g) & (F.col("elem").bitwiseAND(0xFF) == low)
-    value = F.get("values", F.lit(0)).try_cast("double")
-    found = {
-        "overlay": any_(root & (F.col("grp").between(0x6000, 0x60FF) | (F.col("grp") == 0x0070))),
-        "csa": any_(private("SIEMENS CSA HEADER", 0x0029, 0x10) & F.startswith(F.get("values", F.lit(0)), F.lit("53563130"))),
-        "slices": any_(private("Image Private Header", 0x0065, 0x50) & value.between(1, 4096)),
-        "b_value": any_(tag(0x0018, 0x9087) & (value >= 0)),
-        "diffused": any_(tag(0x0018, 0x9087) & (value > 1)),
-        "asl_technique": any_(tag(0x0018, 0x9250)),
-        "asl_context": any_(tag(0x0018, 0x9257)),
-        "scaling": any_(private("Philips MR Imaging DD 001", 0x2005, 0x0D) | private("Philips MR Imaging DD 001", 0x2005, 0x0E)),
-        "scaling_usable": any_(private("Philips MR Imaging DD 001", 0x2005, 0x0D)) & any_(private("Philips MR Imaging DD 001", 0x2005, 0x0E) & (value > 0)),
-    }
-    rows = elements.groupBy("file").agg(F.max("error").alias("error"), *[first(*t).alias(n) for n, t in SINGLE.items()], *[v.alias(n) for n, v in (lists | found).items()])
-    for name in NUMERIC:
-        rows = rows.withColumn(name, F.trim(name).try_cast("double"))
-    return rows
+    row = {c: F.col(c) for c in ("depth", "grp", "elem", "values", "creator")}
+    found = _attributes(lambda when, value: F.max(F.when(when(row), value(row))), lambda when: F.coalesce(F.bool_or(when(row)), F.lit(False)))
+    return _numbered(elements.groupBy("file").agg(F.max("error").alias("error"), *[v.alias(n) for n, v in found.items()]))
+
+
+def header_rows_whole(files: DataFrame) -> DataFrame:
+    """As header_rows, of files (file, elements) whose elements are one array each; nothing is shuffled."""
+    best = lambda when, value: F.array_max(F.transform(F.filter("elements", when), value))
+    found = _attributes(best, lambda when: F.exists("elements", lambda r: F.coalesce(when(r), F.lit(False))))
+    return _numbered(files.select("file", F.array_max(F.transform("elements", lambda r: r["error"])).alias("error"), *[v.alias(n) for n, v in found.items()]))
 
 
 def normal(value: Column) -> Column:
