@@ -81,6 +81,18 @@ def test_language_model_charges_long_words_in_full(spark):
     assert all(got[i] > 3.9 for i in held)
 
 
+def test_language_model_mixer_is_trained_on_all_training_text(spark):
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, i % 5 == 1, " ".join(words[(i * j + j) % 50] for j in range(999))) for i in range(1000)]
+    table = spark.createDataFrame(rows, "row long, held boolean, text string").repartition(4)
+    model = language_model.WordMixer([b"", *map(str.encode, words)], [800] * 51, 1, 800_000)
+    assert language_model.learn_words(table, model, 800_000).trained == 800_000
+    lexicon = spark.createDataFrame([(f"word{i}".encode(), 1) for i in range(2000)], "word binary, c long")
+    every = np.zeros(2 * language_model.STARTS[-1], np.uint32)
+    language_model.add_counts(every, [f"word{i}".encode() for i in range(2000)])
+    assert (language_model.Speller(every).seen == language_model.learn_speller(lexicon, 2000).seen).all()
+
+
 def test_language_model_beats_base_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     row = language_model.lm_scores(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
