@@ -72,3 +72,9 @@ def any_all_agree(left: Column, right: Column, agree) -> Column:
     """Mutual match of two arrays: each element of one agrees with some element of the other."""
     one = F.forall(left, lambda a: F.exists(right, lambda b: agree(a, b)))
     return one & F.forall(right, lambda b: F.exists(left, lambda a: agree(a, b)))
+
+
+def dealt(rows: DataFrame, key: str, n_rows: int, most: int = 500_000) -> DataFrame:
+    """The rows, shuffled by key into tasks of about `most` of `n_rows` rows where the session's partitions would be larger, so that a task's sort does not grow with the table."""
+    n = -(-n_rows // most)
+    return rows.repartition(n, key) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows

@@ -72,7 +72,9 @@ def safe_metadata(table):
 def member_names(table):
     """Numbered member names of each series' files in their order."""
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    joined = table("lineitem").join(table("orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    size = table("lineitem").count()  # of Parquet's footers
+    lines, orders = grouping.dealt(table("lineitem"), "l_orderkey", size), grouping.dealt(table("orders").select("o_orderkey"), "o_orderkey", size)
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.format_string("dicom/%06d.dcm", n).alias("member"))
 
 

@@ -144,7 +144,8 @@ def part_order(table):
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     length = F.col("l_quantity").cast("long")
-    rows = table("lineitem").select("l_orderkey", "l_linenumber", length.alias("length"), F.row_number().over(order).alias("i"), (F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0)) - length).alias("at"))
+    lines = grouping.dealt(table("lineitem"), "l_orderkey", table("lineitem").count())
+    rows = lines.select("l_orderkey", "l_linenumber", length.alias("length"), F.row_number().over(order).alias("i"), (F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0)) - length).alias("at"))
     rows = rows.withColumn("at", F.when(F.col("i") == 1, F.col("at") - F.col("l_linenumber") + 1).otherwise(F.when(F.col("l_linenumber") > 1, F.col("at")).otherwise(-1)))
     n = F.col("l_linenumber")
     complete = (F.count("*") == F.max(n)) & grouping.complete(n, F.max(n))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gneiss.operators import publish
@@ -67,3 +68,12 @@ def test_a_reader_always_finds_a_pointer(spark, tmp_path):
     assert publish.read_json(spark, path) == {"version": 39}
     assert [x for x in seen if isinstance(x, Exception)] == [] and seen == sorted(seen) and len(set(seen)) > 1
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["current.json"]
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark):
+    from gneiss.operators import grouping
+
+    rows = spark.range(6000).withColumn("k", F.col("id") % 1500)
+    window = grouping.dealt(rows, "k", 6000, 500).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    assert window.rdd.getNumPartitions() == 12 and window.agg(F.sum("n")).first()[0] == 1500 * 10
+    assert grouping.dealt(rows, "k", 2000, 500).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
