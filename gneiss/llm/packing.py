@@ -8,7 +8,9 @@ lengths replace the rounded ones; small lengths go best-fit into what room is le
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -22,8 +24,8 @@ from gneiss.llm.shared import staged
 
 #: Tokens a sequence holds, groups of large lengths, and buckets in which ranks are counted.
 CAPACITY, GROUPS, BUCKETS = 2048, 64, 512
-#: Pieces of text whose ids a task keeps.
-KEPT = 300_000
+#: Pieces of text whose ids a process keeps, the characters of the longest that it keeps, and texts whose new pieces are encoded together.
+KEPT, LONGEST, TOGETHER = 600_000, 64, 256
 #: Characters (as in a pattern's set) of which both pattern libraries know the same classes: a test goes through all of them.
 AGREED = r"\x00-\u04ff\u1e00-\u1fff\u2000-\u2064\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
 
@@ -37,32 +39,65 @@ class Encoder:
     """
 
     def __init__(self, path: str, pattern: str | None = None):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        self.full_path, self.pattern = path, pattern
         self.full = Tokenizer.from_file(path)
-        special = [regex.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([*special, f"[^{AGREED}]"]))
-        self.split = regex.compile(pattern).findall if pattern else None
-        self.ids: dict[str, list[int]] = {}
+        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([*map(re.escape, self.special), f"[^{AGREED}]"]))
+        self.split = re.compile(spelled_out(pattern)).findall if pattern else None
+        self.ids: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.split is None or self.whole.search(text):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
-        known, pieces, out = self.ids, self.split(text), []
-        new = list(set(pieces).difference(known))
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = list(set(pieces))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, (e.ids for e in self.full.encode_batch(part, add_special_tokens=False))))
-        for p in pieces:
-            out += known[p]
-        return np.array(out, "<u4")
-
-
+        return np.frombuffer(self.packed([text])[0], "<u4")
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers; new pieces of all texts are encoded together."""
+        pieces = [None if self.is_whole(t) else self.split(t) for t in texts]
+        new = set().union(*filter(None, pieces)).difference(self.ids)
+        if len(self.ids) + len(new) > KEPT:
+            self.ids.clear()
+            new = set().union(*filter(None, pieces))
+        listed = list(new)
+        for at in range(0, len(listed), 4096):
+            part = listed[at : at + 4096]
+            self.ids.update(zip(part, self.encoded(part)))
+        of = self.ids.__getitem__
+        out = [self.encoded([t])[0] if p is None else b"".join(map(of, p)) for t, p in zip(texts, pieces)]
+        for p in listed:
+            if len(p) > LONGEST:
+                del self.ids[p]
+        return out
+
+    def is_whole(self, text: str) -> bool:
+        return self.split is None or (any(s in text for s in self.special) if text.isascii() else self.whole.search(text) is not None)
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def spelled_out(pattern: str) -> str:
+    """A pattern of the regex library for the standard one, which is quicker: its classes as ranges of AGREED characters."""
+    import regex
+
+    known = re.findall(f"[{AGREED}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))
+
+    def ranges(name: str) -> str:
+        held, out = [ord(c) for c in regex.findall(name, "".join(known))], []
+        for c in held:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+    spaces, letters, digits = map(ranges, (r"\s", r"\p{L}", r"\p{N}"))
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{digits}]")
+    return pattern.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
+
+
+@functools.lru_cache(1)
 def public_encoder() -> Encoder:
     """The byte-level BPE of 50k ids among the public tokenizers."""
     import public_tokenizers
@@ -209,14 +244,17 @@ def pieces(docs: DataFrame, encoder=public_encoder, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, zero = encoder(), np.zeros(1, "<u4")
+        encode = encoder()
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf["_id"].array, pdf["_text"]):
-                ids = np.concatenate([encode(text or ""), zero])
-                first = len(ids) - capacity * ((len(ids) - 1) // capacity)
-                cuts = [0, *range(first, len(ids) + 1, capacity)]
-                out += [(doc, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            for at in range(0, len(pdf), TOGETHER):
+                part = pdf[at : at + TOGETHER]
+                for doc, ids in zip(part["_id"].array, encode.packed([t or "" for t in part["_text"]])):
+                    ids += b"\0\0\0\0"
+                    n = len(ids) // 4
+                    first = n - capacity * ((n - 1) // capacity)
+                    cuts = [0, *range(first, n + 1, capacity)]
+                    out += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             frame = pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"_id": "Int64"})
 

@@ -370,6 +370,17 @@ def test_pieces_have_the_ids_of_whole_texts(spark):
     assert sum(encode.whole.search(t) is not None for t in texts[:10_000]) < 500
 
 
+def test_packing_encodes_new_pieces_of_many_texts_at_once():
+    """A call of the tokenizer for each text's few new pieces was most of the work; longest pieces are not kept."""
+    encode = packing.Encoder(packing.public_encoder().full_path, packing.public_encoder().pattern)
+    texts = [f"own{i} word, é{i}" for i in range(200)] + ["x" * 500, "a <|endoftext|> b", "", " \x1c\n  y"]
+    calls, plain = [], encode.encoded
+    encode.encoded = lambda t: calls.append(len(t)) or plain(t)
+    got = encode.packed(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encode.full.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 2 and max(map(len, encode.ids)) <= packing.LONGEST
+
+
 # op6
 
 
