@@ -68,6 +68,18 @@ def test_dropped_sequences_take_their_subtrees(spark):
     assert 0 < len(left) < len(rows)
 
 
+def test_part_files_are_written_on_all_cores_and_parsed_once(spark):
+    """A small table is one task's read, and creators came from a second branch that parsed and judged all files again."""
+    from gneiss.plans import files
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    assert part.rdd.getNumPartitions() == 1
+    assert files.spread(part).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = tree.sanitised_tree(files.flagged(writer.parsed(files.source_files(part))), files.KEY)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
 def test_audit_sees_what_must_go(spark):
     dirty = [([], 8, 8, "CS", ["ORIGINAL", "PRIMARY", "M"], 0), ([], 0x10, 0x10, "PN", ["Doe^Jane"], 0), ([], 8, 0x20, "DA", ["20240101"], 0), ([], 0x19, 0x10, "LO", ["SIEMENS MR HEADER"], 0), ([], 0x28, 0x10, "US", ["4"], 0)]
     clean = [dirty[0], dirty[4]]
