@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import hash_sample
-
 UNKNOWN = "unknown"
 #: Statements of each family, as projects write them; "#" stands for any number.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -129,9 +129,10 @@ OTHERS = (
 )
 FAMILIES = sorted(TEMPLATES)
 CLASSES = [*FAMILIES, UNKNOWN]
-#: Paragraphs without a licence the classifier learns and is calibrated from: windows of paragraphs of this many
-#: documents, first by hash of their id. Nothing else is bounded: all texts are scanned whole.
-SAMPLE_DOCS, SAMPLE_WINDOWS, VARIANTS = 400, 4000, 12
+#: Windows a task learns from at once, rounds over a task's first ones and over each later block, and variants of a statement.
+BLOCK, FIRST, LATER, VARIANTS = 4000, 30, 8, 12
+#: Steps of probability in which scores of windows are counted, and groups in which tasks' models are added up.
+STEPS, SUMS = 100_000, 16
 #: Words of a window; words between marked pairs of one statement, and words taken in on both sides.
 SPAN, GAP, ROUND = 120, 6, 3
 #: Share of a template's word n-grams that confirms a prediction, share of those that are its family's own, false
@@ -173,12 +174,50 @@ def templates() -> list[tuple[str, frozenset[str], frozenset[str]]]:
     return sorted(found, key=lambda t: (t[0], sorted(t[1])))
 
 
-def examples(rng: random.Random, neighbours: list[list[str]], left_out: frozenset[str] = frozenset()) -> list[tuple[list[str], str]]:
+def vocabulary() -> list[str]:
+    """The n-grams of statements of the families: all that the classifier looks at."""
+    said_ = [w for f in FAMILIES for name in NAMES[f] for w in said(name)]
+    return sorted({g for f in FAMILIES for t in TEMPLATES[f] for g in grams(words_of(t.replace("#", "1")))} | {g for w in said_ for g in grams(w)})
+
+
+class Vectors:
+    """Rows of a matrix for windows of words: which n-grams of the vocabulary they hold."""
+
+    def __init__(self) -> None:
+        self.vocabulary = vocabulary()
+        self.words = {g: i for i, g in enumerate(self.vocabulary) if " " not in g}
+        self.pairs: dict[str, dict[str, int]] = {}
+        for i, g in enumerate(self.vocabulary):
+            if " " in g:
+                first, second = g.split(" ")
+                self.pairs.setdefault(first, {})[second] = i
+        known = [t for _, t, _ in templates()]
+        self.shared = np.array([[" " in g and g in t for t in known] for g in self.vocabulary], np.float32)
+        self.limits = np.array([min(4, len(t) / 4) for t in known], np.float32)
+
+    def held(self, windows: list[list[str]]) -> np.ndarray:
+        x = np.zeros((len(windows), len(self.vocabulary)), np.float32)
+        word, first = self.words.get, self.pairs.get
+        for i, words in enumerate(windows):
+            known = set(map(word, words))
+            known.discard(None)
+            known.update(after[b] for a, b in zip(words, words[1:]) if (after := first(a)) and b in after)
+            x[i, list(known)] = 1
+        return x
+
+    def plain(self, x: np.ndarray) -> np.ndarray:
+        """Of each row, whether it shares under four word pairs, and under half of them, with every template."""
+        return (x @ self.shared < self.limits).all(1)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
+def examples(rng: random.Random, neighbours: list[list[str]]) -> list[tuple[list[str], str]]:
     """Training statements: templates and framed names, with words lost, cut short, or between ordinary words."""
     found = []
     for family in CLASSES:
-        if family in left_out:
-            continue
         whole = [words_of(t.replace("#", "1")) for t in (OTHERS if family == UNKNOWN else TEMPLATES[family])]
         for words in [w for w in whole for _ in range(VARIANTS)] + [w for name in NAMES[family] for w in said(name) for _ in range(2)]:
             kept = [w for w in words if rng.random() > 0.05] if len(words) > 8 else list(words)
@@ -193,6 +232,50 @@ def examples(rng: random.Random, neighbours: list[list[str]], left_out: frozense
     return found
 
 
+#: The families each model never sees: three that tell what strangers reach, and one for each half of the texts.
+LEFT_OUT = [frozenset(FAMILIES[third::3]) for third in range(3)] + [frozenset(), frozenset()]
+
+
+class Learner:
+    """Softmax regressions over the classes, one for each of LEFT_OUT, by proximal gradient steps; weights under the lasso are zero."""
+
+    def __init__(self, vectors: Vectors, weights: np.ndarray | None = None):
+        self.vectors = vectors
+        shape = (len(LEFT_OUT), len(vectors.vocabulary) + 1, len(CLASSES))  # the last row is the constant
+        self.weights = np.zeros(shape, np.float32) if weights is None else weights.reshape(shape).copy()
+        self.past = np.zeros(shape, np.float32)
+
+    def train(self, models: list[int], windows: np.ndarray, words: list[list[str]], rng: random.Random, rounds: int, step: float = 4.0, lasso: float = 1e-4) -> None:
+        """Further steps of these models over windows of the unknown class and statements, some of these between the windows' words."""
+        said_ = examples(rng, words)
+        x = np.vstack([scaled(windows), scaled(self.vectors.held([w for w, _ in said_]))])
+        y = np.zeros((len(x), len(CLASSES)), np.float32)
+        y[: len(windows), -1] = 1
+        y[np.arange(len(windows), len(x)), [CLASSES.index(f) for _, f in said_]] = 1
+        weigh = np.zeros((len(models), len(x), 1), np.float32)
+        for k, m in enumerate(models):  # each class a model sees counts alike
+            seen = np.array([f not in LEFT_OUT[m] for f in CLASSES])
+            weigh[k] = ((y * seen / np.maximum(y.sum(0), 1)).sum(1) / seen.sum())[:, None]
+        for _ in range(rounds):
+            w, b = self.weights[models, :-1], self.weights[models, -1:]
+            z = (x @ np.concatenate(w, 1)).reshape(len(x), len(models), -1).swapaxes(0, 1) + b
+            p = np.exp(z - z.max(2, keepdims=True))
+            p /= p.sum(2, keepdims=True)
+            error = weigh * (y - p)
+            slope = (x.T @ np.concatenate(error, 1)).reshape(w.shape[1], len(models), -1).swapaxes(0, 1)
+            self.past[models, :-1] = 0.9 * self.past[models, :-1] + slope
+            w = w + step * self.past[models, :-1]
+            self.weights[models, :-1] = np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0)
+            self.weights[models, -1:] = b + 0.5 * step * error.sum(1, keepdims=True)
+
+
+def family_scores(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The most probable family's probability in each row; without an n-gram of statements it is 0."""
+    z = scaled(x) @ weights[:-1] + weights[-1]
+    p = np.exp(z - z.max(1, keepdims=True))
+    return np.where(x.any(1), p[:, :-1].max(1) / p.sum(1), 0.0)
+
+
 class Classifier:
     """Sparse word n-gram logistic regression over the families and the unknown class."""
 
@@ -204,31 +287,10 @@ class Classifier:
         self.pairs: frozenset[tuple[str, str]] = frozenset()
         self.first: frozenset[str] = frozenset()
 
-    def train(self, rows: list[tuple[list[str], str]], rounds: int = 250, lasso: float = 1e-4) -> None:
-        """Proximal gradient steps; features are the n-grams of statements, weights under the lasso are zero."""
-        vocabulary = sorted({g for f in FAMILIES for t in TEMPLATES[f] for g in grams(words_of(t.replace("#", "1")))} | {g for f in FAMILIES for name in NAMES[f] for w in said(name) for g in grams(w)})
-        at = {g: i for i, g in enumerate(vocabulary)}
-        x = np.zeros((len(rows), len(at)), np.float32)
-        for i, (words, _) in enumerate(rows):
-            known = sorted({at[g] for g in grams(words) if g in at})
-            if known:
-                x[i, known] = 1 / np.sqrt(len(known))
-        y = np.zeros((len(rows), len(CLASSES)), np.float32)
-        y[np.arange(len(rows)), [CLASSES.index(f) for _, f in rows]] = 1
-        share = y.mean(0)
-        weigh = (y / np.maximum(share, 1e-9)).sum(1, keepdims=True) / max(1, (share > 0).sum())  # each class counts alike
-        w, b, step, past = np.zeros((len(at), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32), 4.0, 0.0
-        for _ in range(rounds):
-            z = x @ w + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            error = weigh * (y - p) / len(rows)
-            past = 0.9 * past + x.T @ error
-            w = w + step * past
-            w = np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0)
-            b = b + 0.5 * step * error.sum(0)
-        self.rows = {g: w[i].astype(float) for g, i in at.items() if w[i].any()}
-        self.bias = b.astype(float)
+    def take(self, words: list[str], weights: np.ndarray) -> None:
+        """Learned weights, the constant last; n-grams without any are left out."""
+        self.rows = {g: w.astype(float) for g, w in zip(words, weights) if w.any()}
+        self.bias = weights[-1].astype(float)
 
     def scores(self, features: set[str]) -> np.ndarray:
         """Probability of each class; without an n-gram of statements the window is unknown."""
@@ -237,19 +299,23 @@ class Classifier:
         p = np.exp(z - z.max())
         return p / p.sum() if known else np.eye(len(CLASSES))[-1]
 
-    def mark(self, plain: list[list[str]]) -> None:
+    def mark(self, usual: dict[str, int], n_windows: int) -> None:
         """The word pairs that show where a statement may lie: those of templates and names that few plain windows have."""
         said_ = [words_of(t.replace("#", "1")) for f in FAMILIES for t in TEMPLATES[f]] + [w for f in FAMILIES for name in NAMES[f] for w in said(name)]
-        usual = Counter(p for words in plain for p in set(zip(words, words[1:])))
-        self.pairs = frozenset(p for words in said_ for p in zip(words, words[1:]) if usual[p] <= USUAL * len(plain))
+        self.pairs = frozenset(p for words in said_ for p in zip(words, words[1:]) if usual.get(" ".join(p), 0) <= USUAL * n_windows)
         self.first = frozenset(a for a, _ in self.pairs)
 
-    def calibrate(self, plain: list[list[str]], strangers: list[float]) -> None:
-        """The least probability of a family: few plain windows and few statements of families not learned pass it."""
-        best = sorted((float(self.scores(set(grams(w)))[:-1].max()) for w in plain), reverse=True)
-        floors = [0.5]
-        if best:
-            floors.append(best[min(len(best) - 1, int(ALARMS * len(best)))] + 1e-9)
+    def calibrate(self, passing: dict[int, int], n_windows: int, strangers: list[float]) -> None:
+        """The least probability of a family: few plain windows and few statements of families not learned pass it.
+
+        `passing` counts plain windows by their score in steps of 1 / STEPS, rounded down; those under 0.5 need not be there.
+        """
+        floors, above = [0.5], 0
+        for score in sorted(passing, reverse=True):
+            above += passing[score]
+            if above > ALARMS * n_windows:
+                floors.append((score + 1) / STEPS)
+                break
         if strangers:
             floors.append(sorted(strangers, reverse=True)[int(STRANGERS * len(strangers))])
         self.least = min(MOST, max(floors))
@@ -297,39 +363,90 @@ def paragraphs(text: str) -> list[str]:
     return BLANK.split(text)
 
 
+def plain_windows(batches: Iterator[pd.DataFrame], vectors: Vectors) -> Iterator[tuple[int, np.ndarray, list[list[str]]]]:
+    """(half, rows, words) of about BLOCK windows at a time: all texts' windows of SPAN words, but for those that share four word
+    pairs, or half of them, with a template, being no examples of the unknown class. Equal texts fall into the same half."""
+    waiting: list[list[list[str]]] = [[], []]
+
+    def block(half: int) -> tuple[int, np.ndarray, list[list[str]]]:
+        words, waiting[half] = waiting[half], []
+        x = vectors.held(words)
+        kept = vectors.plain(x)
+        return half, x[kept], [w for w, k in zip(words, kept) if k]
+
+    for pdf in batches:
+        for text in pdf["_text"]:
+            words = words_of(text or "")
+            half = zlib.crc32((text or "").encode()) & 1
+            for at in range(0, len(words), SPAN):
+                waiting[half].append(words[at : at + SPAN])
+                if len(waiting[half]) >= BLOCK:
+                    yield block(half)
+    for half in (0, 1):
+        if waiting[half]:
+            yield block(half)
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str, seed: int = 11) -> Classifier:
-    """A classifier from statements and a bounded sample of the corpus's own windows.
+    """A classifier from statements and all windows of all texts.
 
-    Of each sampled document at most ten windows are taken, evenly from its whole text; those that share four word pairs, or half
-    of them, with a template are left out, being no examples of the unknown class. Models that never saw a third of the families give the
-    probabilities that strangers reach.
+    The models start from the statements alone. Each task takes them further over its own windows, block by block, and
+    the tasks' models are averaged by the number of their windows; so are those of the two halves of the texts, which make the
+    classifier. Pairs are marked by their counts over all windows. Every window is scored by the model that has not seen its half,
+    which shows the false alarms; models that never saw a third of the families give the probabilities that strangers reach.
     """
+    vectors = Vectors()
+    start = Learner(vectors)
+    start.train(list(range(len(LEFT_OUT))), np.zeros((0, len(vectors.vocabulary)), np.float32), [], random.Random(seed), 150)
+    begin, n_models = start.weights, len(LEFT_OUT)
+    texts = docs.select(F.col(text_col).alias("_text"))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        vectors = Vectors()
+        learner, rng = Learner(vectors, begin), random.Random(1000 * seed + task)
+        seen, usual, first = np.zeros(2, int), np.zeros(len(vectors.vocabulary)), [True, True]
+        for half, x, words in plain_windows(batches, vectors):
+            if len(x):
+                usual += x.sum(0)
+                seen[half] += len(x)
+                learner.train([0, 1, 2, 3 + half], x, words, rng, FIRST if first[half] else LATER)
+                first[half] = False
+        if seen.any():
+            counts = np.array([seen.sum()] * 3 + [*seen])
+            yield pd.DataFrame({"task": [task], "counts": [counts], "usual": [usual], "weights": [(learner.weights * counts[:, None, None]).astype("<f8").tobytes()]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("task")
+        weights = sum(np.frombuffer(w, "<f8") for w in pdf["weights"])
+        return pd.DataFrame({"task": [pdf["task"].iloc[0]], "counts": [sum(pdf["counts"])], "usual": [sum(pdf["usual"])], "weights": [weights.tobytes()]})
+
+    schema = "task int, counts array<long>, usual array<double>, weights binary"
+    rows = texts.mapInPandas(learn, schema).groupBy(F.pmod("task", F.lit(SUMS))).applyInPandas(add, schema).collect()
+    rows.sort(key=lambda r: r["task"])
+    counts = sum((np.array(r["counts"]) for r in rows), np.zeros(n_models, int))
+    usual = sum((np.array(r["usual"]) for r in rows), np.zeros(len(vectors.vocabulary)))
+    summed = sum((np.frombuffer(r["weights"], "<f8") for r in rows), np.zeros(begin.size)).reshape(begin.shape)
+    weights = np.where(counts[:, None, None] > 0, summed / np.maximum(counts, 1)[:, None, None], begin)
+    halves, n_windows = weights[3:].astype(np.float32), int(counts[3:].sum())
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        passing: Counter = Counter()
+        for half, x, _ in plain_windows(batches, Vectors()):
+            steps = np.floor(family_scores(x, halves[1 - half]) * STEPS).astype(int)
+            passing.update(steps[steps >= STEPS // 2].tolist())
+        yield pd.DataFrame({"score": [*passing], "n": [*passing.values()]}, dtype="int64")
+
+    passing = {r["score"]: r["n"] for r in texts.mapInPandas(score, "score long, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()} if n_windows else {}
+    strangers: list[float] = []
     rng = random.Random(seed)
-    few = hash_sample(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), ["i"], 2 * SAMPLE_DOCS, docs.count())
-    parts = F.split(F.coalesce(F.col("t"), F.lit("")), r"\s+")
-    picks = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat_ws(" ", F.slice("p", (k * F.size("p") / 10).cast("int") + 1, SPAN)))
-    rows = few.withColumn("h", F.xxhash64("i")).orderBy("h", "i", F.xxhash64("t")).limit(SAMPLE_DOCS).withColumn("p", parts).select(picks.alias("w")).collect()
-    known = templates()
-    plain = []
-    for r in rows:
-        for w in dict.fromkeys(r["w"]):
-            words = words_of(w)
-            features = set(grams(words))
-            if words and all(sum(" " in g for g in t & features) < min(4, len(t) / 4) for _, t, _ in known):
-                plain.append(words)
-    rng.shuffle(plain)
-    plain = plain[:SAMPLE_WINDOWS]
-    learn, check = plain[::2], plain[1::2]
-    strangers = []
-    for third in range(3):
-        left_out = frozenset(FAMILIES[third::3])
-        model = Classifier()
-        model.train(examples(rng, learn, left_out) + [(w, UNKNOWN) for w in learn], rounds=100)
-        strangers += [float(model.scores(set(grams(words)))[:-1].max()) for words, f in examples(rng, [], frozenset(CLASSES) - left_out)]
+    for m in range(3):
+        foreign = [w for w, f in examples(rng, []) if f in LEFT_OUT[m]]
+        strangers += family_scores(vectors.held(foreign), weights[m]).tolist()
     model = Classifier()
-    model.train(examples(rng, learn) + [(w, UNKNOWN) for w in learn])
-    model.mark(plain)
-    model.calibrate(check, strangers)
+    model.take(vectors.vocabulary, (weights[3:] * counts[3:, None, None]).sum(0) / n_windows if n_windows else weights[3])
+    model.mark({g: int(n) for g, n in zip(vectors.vocabulary, usual)}, n_windows)
+    model.calibrate(passing, n_windows, strangers)
     return model
 
 

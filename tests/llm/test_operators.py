@@ -781,6 +781,23 @@ def test_marked_windows_find_what_all_windows_find(spark):
         assert found == slow_families(model, text) == ({want[i]} if i in want else set())
 
 
+def test_all_windows_of_all_texts_are_counted(spark):
+    """A sample of texts would misjudge word pairs whose share of all windows is near the limit, and miss what lies late in a text."""
+    rng = random.Random(8)
+    some = sorted({p for w in licences.TEMPLATES["gpl"] for p in zip(licences.words_of(w), licences.words_of(w)[1:]) if "#" not in p})[:30]
+    texts = [["zebra"] * 120 * rng.randrange(2, 4) for _ in range(1500)]
+    for k, p in enumerate(some):  # each in 5 windows more than the one before, in different texts, never in the first window
+        for i in rng.sample(range(len(texts)), 5 * k + 1):
+            at = rng.choice([j for j in range(121, len(texts[i]) - 3) if texts[i][j : j + 3] == ["zebra"] * 3])
+            texts[i][at + 1 : at + 3] = p
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    windows = [set(zip(w[a : a + 120], w[a + 1 : a + 120])) for w in texts for a in range(0, len(w), 120)]
+    usual = {p for p in some if sum(p in w for w in windows) > licences.USUAL * len(windows)}
+    assert 5 < len(usual) < 28
+    pairs = licences.fit(docs, "doc_id", "text").pairs
+    assert {p for p in some if p not in pairs} == usual
+
+
 def test_classifier_and_templates_both_decide(spark):
     """Without the classifier's unknown class, or without templates, strange licences would pass."""
     rows, _ = licence_corpus()
