@@ -24,8 +24,9 @@ from gneiss.llm.shared import staged
 
 #: Tokens a sequence holds, groups of large lengths, and buckets in which ranks are counted.
 CAPACITY, GROUPS, BUCKETS = 2048, 64, 512
-#: Pieces of text whose ids a process keeps, the characters of the longest that it keeps, and texts whose new pieces are encoded together.
-KEPT, LONGEST, TOGETHER = 600_000, 64, 256
+#: Pieces of text whose ids a process keeps, the characters of the longest that it keeps, texts whose new pieces are encoded together,
+#: and pieces that are encoded as one text.
+KEPT, LONGEST, TOGETHER, JOINED = 300_000, 64, 256, 256
 #: Characters (as in a pattern's set) of which both pattern libraries know the same classes: a test goes through all of them.
 AGREED = r"\x00-\u04ff\u1e00-\u1fff\u2000-\u2064\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
 
@@ -48,6 +49,7 @@ class Encoder:
         self.whole = re.compile("|".join([*map(re.escape, self.special), f"[^{AGREED}]"]))
         self.split = re.compile(spelled_out(pattern)).findall if pattern else None
         self.ids: dict[str, bytes] = {}
+        self.line_feed = self.full.encode("\n", add_special_tokens=False).ids[0]
 
     def __call__(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed([text])[0], "<u4")
@@ -55,24 +57,45 @@ class Encoder:
     def packed(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers; new pieces of all texts are encoded together."""
         pieces = [None if self.is_whole(t) else self.split(t) for t in texts]
-        new = set().union(*filter(None, pieces)).difference(self.ids)
-        if len(self.ids) + len(new) > KEPT:
+        distinct = set().union(*filter(None, pieces))
+        new = distinct.difference(self.ids)
+        # the first pieces seen are mostly the frequent ones: once there are enough, they stay and rarer ones are not kept
+        full = len(self.ids) + len(new) > KEPT
+        if full and 2 * len(new) > len(distinct):  # other texts than those whose pieces are kept
             self.ids.clear()
-            new = set().union(*filter(None, pieces))
+            new, full = distinct, len(distinct) > KEPT
         listed = list(new)
         for at in range(0, len(listed), 4096):
             part = listed[at : at + 4096]
-            self.ids.update(zip(part, self.encoded(part)))
+            self.ids.update(zip(part, self.of_pieces(part)))
         of = self.ids.__getitem__
         out = [self.encoded([t])[0] if p is None else b"".join(map(of, p)) for t, p in zip(texts, pieces)]
         for p in listed:
-            if len(p) > LONGEST:
+            if full or len(p) > LONGEST:
                 del self.ids[p]
         return out
 
     def is_whole(self, text: str) -> bool:
         return self.split is None or (any(s in text for s in self.special) if text.isascii() else self.whole.search(text) is not None)
 
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids. Pieces without white space but for a space before them are encoded many at once, a line for each: a
+        line feed between such pieces is always a piece of its own, and its id is in no other."""
+        single, joined = [], []
+        for p in pieces:
+            first = p[1:2] if p[0] == " " else p[0]
+            (joined if first and not first.isspace() else single).append(p)
+        out = dict(zip(single, self.encoded(single))) if single else {}
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            ids = np.array(self.full.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.line_feed).tolist(), len(ids)]
+            if len(ends) != len(part):
+                raise ValueError("a line feed was not a piece of its own")
+            packed = ids.tobytes()
+            out.update((p, packed[4 * a + 4 : 4 * b]) for p, a, b in zip(part, [-1, *ends], ends))
+        return [out[p] for p in pieces]
+
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -381,6 +381,34 @@ def test_packing_encodes_new_pieces_of_many_texts_at_once():
     assert len(calls) == 2 and max(map(len, encode.ids)) <= packing.LONGEST
 
 
+def test_packing_encodes_many_pieces_as_one_text():
+    """A text of its own for each new piece took about half of the time of packing."""
+    encode = packing.Encoder(packing.public_encoder().full_path, packing.public_encoder().pattern)
+    text = " ".join(f"wörd{i}x, {i} ({i}) it's" for i in range(3000)) + "\n\n a \t b\x1c\x85c  'd''s \u3000e "
+    calls, plain = [], encode.encoded
+    encode.encoded = lambda t: calls.append(len(t)) or plain(t)
+    assert encode(text).tolist() == encode.full.encode(text, add_special_tokens=False).ids
+    assert sum(calls) < 20 and len(encode.ids) > 3000
+
+
+def test_packing_keeps_frequent_pieces_and_no_more_than_its_limit(monkeypatch):
+    """Kept pieces were all dropped when full; texts of another kind take their place."""
+    monkeypatch.setattr(packing, "KEPT", 200)
+    encode = packing.Encoder(packing.public_encoder().full_path, packing.public_encoder().pattern)
+    new, plain = [], encode.of_pieces
+    encode.of_pieces = lambda p: new.extend(p) or plain(p)
+    word = lambda kind, i: kind + "".join("abcdefghij"[int(c)] for c in str(i))
+    often = [word("often", i) for i in range(50)]
+    for k in range(20):
+        texts = [" ".join([*often, *(word("rare", 100 * k + j) for j in range(20))])]
+        assert encode.packed(texts) == encode.encoded(texts)
+        assert 60 < len(encode.ids) <= 200 and " oftenb" in encode.ids
+    assert new.count(" oftenb") == 1
+    other = [" ".join(word("neu", i) for i in range(120))]
+    assert encode.packed(other) == encode.encoded(other) and " oftenb" not in encode.ids and " neub" in encode.ids
+
+
+
 # op6
 
 
