@@ -31,17 +31,15 @@ MOST, OVERFLOW = 64, {"classes": "unsupported-overflow", "modalities": "unsuppor
 
 
 def _attributes(best, any_) -> dict[str, Column]:
-    """Attributes of a file's root, and what its elements show anywhere. best(condition, value) is the greatest value where the condition holds,
+    """Attributes of a file's root, and what its elements show anywhere. best(tag, value) is the greatest value of the root's elements with a tag,
     any_(condition) whether it holds somewhere; both take functions of an element, whose fields are its items."""
     root, tag = lambda r: r["depth"] == 0, lambda r, g, e: (r["grp"] == g) & (r["elem"] == e)
     head = lambda r: F.get(r["values"], F.lit(0))
     private = lambda r, creator, g, low: (r["grp"] == g) & (r["elem"].bitwiseAND(0xFF) == low) & (F.upper(F.trim(r["creator"])) == creator.upper())
     number = lambda r: head(r).try_cast("double")
     philips = "Philips MR Imaging DD 001"
-    at = lambda t: lambda r: root(r) & tag(r, *t)
-    filled = lambda t: lambda r: at(t)(r) & (head(r) != "")
-    found = {n: best(filled(t), head) for n, t in SINGLE.items()}
-    found |= {n: best(at(t), lambda r: F.filter(r["values"], lambda v: v != "")) for n, t in LISTS.items()}
+    found = {n: best(t, lambda v: F.when(F.get(v, F.lit(0)) != "", F.get(v, F.lit(0)))) for n, t in SINGLE.items()}
+    found |= {n: best(t, lambda v: F.filter(v, lambda x: x != "")) for n, t in LISTS.items()}
     return found | {
         "overlay": any_(lambda r: root(r) & (r["grp"].between(0x6000, 0x60FF) | (r["grp"] == 0x0070))),
         "csa": any_(lambda r: private(r, "SIEMENS CSA HEADER", 0x0029, 0x10) & F.startswith(head(r), F.lit("53563130"))),
@@ -62,15 +60,28 @@ def _numbered(rows: DataFrame) -> DataFrame:
 def header_rows(elements: DataFrame) -> DataFrame:
     """One row for each file (column `file`) of parsed elements: attributes of its root, and what its elements show anywhere."""
     row = {c: F.col(c) for c in ("depth", "grp", "elem", "values", "creator")}
-    found = _attributes(lambda when, value: F.max(F.when(when(row), value(row))), lambda when: F.coalesce(F.bool_or(when(row)), F.lit(False)))
+    at = lambda t: (F.col("depth") == 0) & (F.col("grp") == t[0]) & (F.col("elem") == t[1])
+    found = _attributes(lambda t, value: F.max(F.when(at(t), value(F.col("values")))), lambda when: F.coalesce(F.bool_or(when(row)), F.lit(False)))
     return _numbered(elements.groupBy("file").agg(F.max("error").alias("error"), *[v.alias(n) for n, v in found.items()]))
 
 
+#: The tags whose root elements give an attribute, and the names of their columns where these are set apart.
+TAGS = {f"{g:04X}{e:04X}": (g, e) for g, e in (*SINGLE.values(), *LISTS.values())}
+
+
 def header_rows_whole(files: DataFrame) -> DataFrame:
-    """As header_rows, of files (file, elements) whose elements are one array each; nothing is shuffled."""
-    best = lambda when, value: F.array_max(F.transform(F.filter("elements", when), value))
+    """As header_rows, of files (file, elements) whose elements are one array each; nothing is shuffled.
+
+    Root elements of TAGS may be set apart in columns (see writer.parsed_whole), so that they are not looked for once an attribute; other columns stay.
+    """
+    apart, own = "00080016" in files.columns, {"elements", *TAGS}
+
+    def best(t, value):
+        lists = F.col(f"{t[0]:04X}{t[1]:04X}") if apart else F.transform(F.filter("elements", lambda r: (r["depth"] == 0) & (r["grp"] == t[0]) & (r["elem"] == t[1])), lambda r: r["values"])
+        return F.array_max(F.transform(lists, value))
+
     found = _attributes(best, lambda when: F.exists("elements", lambda r: F.coalesce(when(r), F.lit(False))))
-    return _numbered(files.select("file", F.array_max(F.transform("elements", lambda r: r["error"])).alias("error"), *[v.alias(n) for n, v in found.items()]))
+    return _numbered(files.select(*[c for c in files.columns if c not in own], F.array_max(F.transform("elements", lambda r: r["error"])).alias("error"), *[v.alias(n) for n, v in found.items()]))
 
 
 def normal(value: Column) -> Column:
@@ -113,14 +124,15 @@ def bounded_lists(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     return few.groupBy("series").agg(*[cells(name).alias(name) for name in fields])
 
 
-def series_rows(headers: DataFrame, sizes: DataFrame) -> DataFrame:
+def series_rows(headers: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """One row for each series with the columns that rules.classified asks for.
 
-    headers: header_rows; sizes: (file, bytes) of all files. A file without study or series is a series of its own; files that
+    headers: header_rows; sizes: (file, bytes) of all files, unless headers have `bytes`. A file without study or series is a series of its own; files that
     cannot be read count against the series that share their folder.
     """
     folder = F.regexp_extract("file", "^(.*)/", 1)
-    good = headers.filter("error is null").join(sizes, "file", "left").withColumn("folder", folder)
+    good = headers.filter("error is null").withColumn("folder", folder)
+    good = good if sizes is None else good.join(sizes, "file", "left")
     identified = F.col("study_uid").isNotNull() & F.col("series_uid").isNotNull()
     good = good.withColumn("series", F.when(identified, F.concat_ws("/", "study_uid", "series_uid")).otherwise(F.concat(F.lit("alone:"), "file")))
     texts = F.concat_ws(" ", "protocol", "description", "sequence_name")
@@ -131,14 +143,16 @@ def series_rows(headers: DataFrame, sizes: DataFrame) -> DataFrame:
     for name in SETS:
         parts = F.array_sort(F.array_distinct(F.filter(F.transform(name, normal), lambda v: v != "")))
         good = good.withColumn(f"_{name}", F.when(F.size(parts) > 0, F.array_join(parts, "\\")))
-    good = with_drift(good.withColumn("_versions", F.when(F.col("software").isNotNull(), versions)), MEASURED)
-    conflicts = [differs(F.col(n)) for n in EXACT] + [differs(normal(F.col(n))) for n in NORMAL] + [differs(F.col(f"_{n}")) for n in SETS]
-    conflicts += [differs(F.coalesce(getattr(canonical, n)(F.col(n)), normal(F.col(n)))) for n in ("manufacturer", "model")] + [differs(F.col("_versions")), F.bool_or("drift")]
+    # forms that are compared, once a file: minimum and maximum would each have them anew
+    forms = {n: normal(F.col(n)) for n in NORMAL} | {n: F.coalesce(getattr(canonical, n)(F.col(n)), normal(F.col(n))) for n in ("manufacturer", "model")}
+    order = F.struct(F.coalesce("instance_number", F.lit(float("inf"))).alias("n"), "file")
+    good = good.withColumns({"_versions": F.when(F.col("software").isNotNull(), versions), "_order": order, **{f"_{n}": v for n, v in forms.items()}})
+    good = with_drift(good, MEASURED)
+    conflicts = [differs(F.col(n)) for n in EXACT] + [differs(F.col(f"_{n}")) for n in (*forms, *SETS, "versions")] + [F.bool_or("drift")]
     conflict = conflicts[0]
     for c in conflicts[1:]:
         conflict = conflict | c
-    order = F.struct(F.coalesce("instance_number", F.lit(float("inf"))).alias("n"), "file")
-    of_first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order))
+    of_first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_order")))
     yes = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     grid = F.col("kinds").rlike("grid|vframe")
     grouped = good.groupBy("series").agg(
